@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .ngram_join import op1_ngram_jaccard
 from .urls import OP5_SQL, op5_url_filters
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op5_url_filters": op5_url_filters,
     "op9_bpe": op9_bpe,
 }

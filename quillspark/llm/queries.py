@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .line_dedup import op10_line_dedup
 from .ngram_join import op1_ngram_jaccard
 from .urls import OP5_SQL, op5_url_filters
 
 QUERIES = {
+    "op10_line_dedup": op10_line_dedup,
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op5_url_filters": op5_url_filters,
     "op9_bpe": op9_bpe,

@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op9_bpe
 from .line_dedup import op10_line_dedup
 from .ngram_join import op1_ngram_jaccard
+from .toxicity import op7_toxicity
 from .urls import OP5_SQL, op5_url_filters
 
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op5_url_filters": op5_url_filters,

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernel import CODES, LOWER, batch_bytes, byte_set, slices, span_hashes, spans
 from .store import table
@@ -28,6 +29,7 @@ SAMPLE = 1500
 #: tagged in runs of at most CHAIN tokens, cut at nothing else.
 WORDS, CHAIN = 20_000, 128
 THRESHOLD = 0.7
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
 
 # A token is a run of ASCII letters and bytes of other scripts, lower-cased within A-Z.
 SEPARATORS = ~byte_set([*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -232,7 +234,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     and probability of each toxic token). Null and empty texts have no tokens: the score of a text
     without toxic words. No shuffle; repeated rows are scored each; columns not in ``keep`` are
     not read, whatever their names."""
-    schema = docs.select(*keep).schema.add("score", "double").add("spans", "array<struct<start:long,end:long,p:double>>")
+    schema = docs.select(*keep).schema.add("score", "double").add("spans", SPANS)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
     names = [f.name for f in schema.fields]
     shared = docs.sparkSession.sparkContext.broadcast(model)

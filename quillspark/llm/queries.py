@@ -7,12 +7,15 @@ from .line_dedup import op10_line_dedup
 from .ngram_join import op1_ngram_jaccard
 from .toxicity import op7_toxicity
 from .urls import OP5_SQL, op5_url_filters
+from .vectors import OP4_SQL, op3_neighbours, op4_exact_top
 
 QUERIES = {
+    "op3_neighbours": op3_neighbours,
+    "op4_exact_top": op4_exact_top,
     "op7_toxicity": op7_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op5_url_filters": op5_url_filters,
     "op9_bpe": op9_bpe,
 }
-ORACLES = {"op5_url_filters": OP5_SQL}
+ORACLES = {"op4_exact_top": OP4_SQL, "op5_url_filters": OP5_SQL}

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .line_dedup import op10_line_dedup
+from .mixing import op8_soft_mixing
 from .ngram_join import op1_ngram_jaccard
 from .toxicity import op7_toxicity
 from .urls import OP5_SQL, op5_url_filters
 from .vectors import OP4_SQL, op3_neighbours, op4_exact_top
 
 QUERIES = {
+    "op8_soft_mixing": op8_soft_mixing,
     "op3_neighbours": op3_neighbours,
     "op4_exact_top": op4_exact_top,
     "op7_toxicity": op7_toxicity,

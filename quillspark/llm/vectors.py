@@ -58,7 +58,7 @@ def _groups(data: DataFrame, queries: DataFrame, blocks: int, batches: int) -> t
 
 #: The least share of the projections that must collide; the share of a block, and the multiple of
 #: k, that is verified at least before windows stop to grow; the first width and its growth.
-COLLIDE, VERIFY, VERIFY_K, WIDTH, GROW = 0.72, 0.12, 20, 1.3, 1.12
+COLLIDE, VERIFY, VERIFY_K, WIDTH, GROW = 0.72, 0.2, 20, 1.4, 1.12
 
 
 def collision_search(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, radius: float, seed: int = 17) -> list[tuple[np.ndarray, np.ndarray]]:

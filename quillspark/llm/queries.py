@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .chat import OP6_SQL, op6_chat_perspectives
 from .line_dedup import op10_line_dedup
 from .mixing import op8_soft_mixing
 from .ngram_join import op1_ngram_jaccard
@@ -11,6 +12,7 @@ from .urls import OP5_SQL, op5_url_filters
 from .vectors import OP4_SQL, op3_neighbours, op4_exact_top
 
 QUERIES = {
+    "op6_chat_perspectives": op6_chat_perspectives,
     "op8_soft_mixing": op8_soft_mixing,
     "op3_neighbours": op3_neighbours,
     "op4_exact_top": op4_exact_top,
@@ -20,4 +22,4 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op9_bpe": op9_bpe,
 }
-ORACLES = {"op4_exact_top": OP4_SQL, "op5_url_filters": OP5_SQL}
+ORACLES = {"op6_chat_perspectives": OP6_SQL, "op4_exact_top": OP4_SQL, "op5_url_filters": OP5_SQL}

@@ -70,9 +70,10 @@ headed AS (
   FROM said s JOIN who USING (conv_id)),
 placed AS (
   SELECT *, head || words || '<|im_end|>' || chr(10) AS message,
-    row_number() OVER w AS at, sum(length(head || words) + 11) OVER (w ROWS UNBOUNDED PRECEDING) AS stop
-  FROM headed WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, words))
-SELECT conv_id, perspective, part, count(*) AS n_messages, string_agg(message, '' ORDER BY at) AS text,
-  coalesce(string_agg(CASE WHEN role = perspective THEN CAST(stop - length(message) + length(head) AS BIGINT) || ':' || CAST(stop - 1 AS BIGINT) END, ',' ORDER BY at), '') AS mask
+    row_number() OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, words) AS k,
+    sum(length(head || words) + 11) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role, words ROWS UNBOUNDED PRECEDING) AS stop
+  FROM headed)
+SELECT conv_id, perspective, part, count(*) AS n_messages, string_agg(message, '' ORDER BY k) AS text,
+  coalesce(string_agg(CASE WHEN role = perspective THEN CAST(stop - length(message) + length(head) AS BIGINT) || ':' || CAST(stop - 1 AS BIGINT) END, ',' ORDER BY k), '') AS mask
 FROM placed GROUP BY conv_id, perspective, part
 """

@@ -18,10 +18,9 @@ from .store import stage, table, text_key
 
 #: Domains, by the labelled table: (name, predicate on its columns).
 DOMAINS = [("good", "quality = 1"), ("low", "quality = 0")]
-#: Target of each domain's expected tokens, as a multiple of what the corpus expects at rate 1. Both
-#: are over 1, so that mixing repeats documents and leaves none out.
+#: Target of each domain's expected tokens, as a multiple of what the corpus expects at rate 1.
 LIFT = {"good": 1.2, "low": 1.05}
-STEPS = 60
+STEPS = 30
 #: Gradient steps are written down after so many, which bounds the depth of a plan.
 WRITE_EVERY = 4
 TOLERANCE = 1e-6
@@ -73,14 +72,14 @@ def posteriors(facts: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", "_row", "tokens", F.array(*[F.col(f"_e{i}") / total for i in range(k)]).alias("p"))
 
 
-def fit_rates(facts: DataFrame, targets: list[float] | None = None, lift: dict[str, float] | None = None, steps: int = STEPS) -> DataFrame:
-    """Adds ``rate`` (nonnegative, from 1 on) to rows with ``tokens`` and ``p``.
+def fit_rates(facts: DataFrame, targets: list[float] | None = None, lift: dict[str, float] | None = None, steps: int = STEPS, floor: float = 0.0) -> DataFrame:
+    """Adds ``rate`` (nonnegative, starting at 1) to rows with ``tokens`` and ``p``.
 
     Minimises half the sum over domains of (S_c - T_c)^2, S_c = sum of rate * tokens * p_c, by
     projected gradient descent in the metric that weighs a document by its tokens: a step takes
-    length * (p . gap) off every rate and sets what falls below 0 to 0. The first step solves for
+    length * (p . gap) off every rate and sets what falls below ``floor`` (0) to that. The first step solves for
     the K lengths at once (from the K x K sums of tokens * p_c * p_d), which is exact where no rate
-    falls below 0; later ones are plain, of length 1 over the largest curvature. Ends when every
+    falls below it; later ones are plain, of length 1 over the largest curvature. Ends when every
     target is met within 1e-6 of the total, when a step no longer gains, or after ``steps``.
     ``targets`` are token totals; by default ``lift`` times the totals at rate 1. Documents without
     tokens keep rate 1.
@@ -104,7 +103,7 @@ def fit_rates(facts: DataFrame, targets: list[float] | None = None, lift: dict[s
         last = loss
         y = [g / steepest for g in gap] if step else _solve(a, gap)
         move = sum(p[i] * F.lit(float(y[i])) for i in range(k))
-        rated = rated.withColumn("rate", F.when(F.col("tokens") > 0, F.greatest(F.col("rate") - move, F.lit(0.0))).otherwise(F.lit(1.0)))
+        rated = rated.withColumn("rate", F.when(F.col("tokens") > 0, F.greatest(F.col("rate") - move, F.lit(float(floor)))).otherwise(F.lit(1.0)))
         if step % WRITE_EVERY == WRITE_EVERY - 1:
             rated = stage(rated, "rates")
         now = [x or 0.0 for x in rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[i]) for i in range(k)]).first()]
@@ -126,7 +125,7 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [m[i][n] / m[i][i] for i in range(n)]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: list[float] | None = None, lift: dict[str, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: list[float] | None = None, lift: dict[str, float] | None = None, floor: float = 0.0) -> DataFrame:
     """``(doc_id, _row, tokens, p, rate, copies)``, one row per distinct (doc_id, text).
 
     ``copies`` is the rate made whole: its whole part, and one more for the share of documents that
@@ -136,14 +135,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: list[float] | None = None,
     scored like others. Empty table: no rows. Extra columns are not read.
     """
     facts = stage(described(docs).distinct(), "facts")
-    rated = fit_rates(stage(posteriors(facts, labels), "posteriors"), targets, lift)
+    rated = fit_rates(stage(posteriors(facts, labels), "posteriors"), targets, lift, floor=floor)
     dice = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "_row", F.lit(8)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return rated.withColumn("copies", (F.floor("rate") + (dice < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, each as often as its ``copies``; columns stay."""
-    mixed = mix(docs, labels).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("copies").alias("_copies"))
+def apply_mix(docs: DataFrame, labels: DataFrame, floor: float = 0.0) -> DataFrame:
+    """The documents, each as often as its ``copies``; columns stay. With ``floor`` 1 none is left
+    out: targets over the totals at rate 1 are then met by repeats alone, as far as they can be."""
+    mixed = mix(docs, labels, floor=floor).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("copies").alias("_copies"))
     keyed = docs.withColumn("_key", text_key())
     joined = keyed.join(mixed, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_r")))
     return joined.withColumn("_n", F.explode(F.expr("CASE WHEN _copies > 0 THEN sequence(1, _copies) ELSE cast(array() AS array<int>) END"))).select(*docs.columns)

@@ -162,7 +162,7 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 20) -> Model:
     # A toxic word is far likelier in toxic documents, by more than chance could do.
     share = n1 / len(y)
     sigma = (tox - df * share) / np.sqrt(df * share * (1 - share) + 1e-9)
-    marked = (odds > 1.2) & (sigma > 3.5) & (tox >= max(3, 0.01 * n1))
+    marked = (odds > 1.5) & (sigma > 4.5) & (tox >= max(3, 0.01 * n1))
     ids = lookup(vocab, w)
     gold = np.append(marked, False)[ids] & (y[doc] > 0)
     start, length = chains(first)

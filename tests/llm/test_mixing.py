@@ -58,9 +58,9 @@ def test_projection_keeps_rates_nonnegative(spark):
 
 def test_copies_and_edges(spark):
     docs, labels = frames(spark, 60)
-    out = apply_mix(docs, labels)
+    out = apply_mix(docs, labels, floor=1.0)
     assert out.columns == docs.columns
-    want = {(r.doc_id, r.tokens): r.copies for r in mix(docs, labels).collect()}
+    want = {(r.doc_id, r.tokens): r.copies for r in mix(docs, labels, floor=1.0).collect()}
     assert min(want.values()) >= 1  # nothing is left out
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").distinct().collect()}
     assert apply_mix(docs.limit(0), labels).collect() == []

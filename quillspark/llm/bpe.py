@@ -27,6 +27,28 @@ END = "</w>"
 NEVER = 1 << 60
 
 
+# Code points that the tokenizers library's Unicode tables know as neither letters nor
+# numbers, while the regex module's newer ones do (first, last).
+NOT_YET = [
+    (0x558, 0x558), (0x58b, 0x58c), (0x88f, 0x88f), (0xc5c, 0xc5c), (0xcdc, 0xcdc), (0x208f, 0x208f), (0x209d, 0x209f), (0xa7ce, 0xa7cf),
+    (0xa7d2, 0xa7d2), (0xa7d4, 0xa7d4), (0xa7dd, 0xa7dd), (0xa7e2, 0xa7e2), (0xa7f1, 0xa7f1), (0xab6c, 0xab6d), (0x107bb, 0x107bf),
+    (0x10940, 0x10959), (0x10ec5, 0x10ec7), (0x10ed9, 0x10eee), (0x11b0a, 0x11b0a), (0x11db0, 0x11ddb), (0x11de0, 0x11de9), (0x11df1, 0x11df1),
+    (0x1246f, 0x1246f), (0x12475, 0x1247f), (0x12550, 0x12686), (0x16ea0, 0x16eb8), (0x16ebb, 0x16ed3), (0x16ff2, 0x16ff3), (0x16ff4, 0x16ff6),
+    (0x187f8, 0x187ff), (0x18cd6, 0x18cda), (0x18d09, 0x18d20), (0x18d80, 0x18df2), (0x18e00, 0x19191), (0x191a0, 0x191d2), (0x1b123, 0x1b128),
+    (0x1b168, 0x1b168), (0x1d6a6, 0x1d6a6), (0x1df1f, 0x1df24), (0x1df2b, 0x1df81), (0x1df90, 0x1df96), (0x1dfcd, 0x1dfff), (0x1e6c0, 0x1e6de),
+    (0x1e6e0, 0x1e6e2), (0x1e6e4, 0x1e6e5), (0x1e6e7, 0x1e6ed), (0x1e6f0, 0x1e6f4), (0x1e6fe, 0x1e6ff), (0x2b73a, 0x2b73f), (0x2b81e, 0x2b81e),
+    (0x2cea2, 0x2cead), (0x323b0, 0x33479), (0x3d000, 0x3fc3f),
+]
+# Code points that it lower-cases while Python's older tables don't (first, last, step).
+LOWERED = [
+    (0x1c89, 0x1c89, 1), (0xa7cb, 0xa7cb, -42343), (0xa7cc, 0xa7cc, 1), (0xa7ce, 0xa7ce, 1), (0xa7d2, 0xa7d2, 1), (0xa7d4, 0xa7d4, 1),
+    (0xa7da, 0xa7da, 1), (0xa7dc, 0xa7dc, -42561), (0x10d50, 0x10d65, 32), (0x16ea0, 0x16eb8, 27),
+]
+_class = "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in NOT_YET) + "]"
+SPECIAL_CASE = regex.compile("[" + _class[1:-1] + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b, _ in LOWERED) + "]")
+LOWER_LATE = {c: c + step for a, b, step in LOWERED for c in range(a, b + 1)}
+
+
 def byte_alphabet() -> dict[int, int]:
     """The byte-level alphabet by its rule: printable Latin-1 bytes stand for themselves, the
     others take the code points from 256 on in order."""
@@ -51,6 +73,8 @@ class WordBpe:
         self.text = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
+        late = pattern.replace(r"[\p{L}]", rf"[\p{{L}}--{_class}]").replace("|[\\p{N}]|", rf"|[\p{{N}}--{_class}]|").replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{_class}]")
+        self.late_words = regex.compile(late, regex.V1).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.table = byte_alphabet()
         self.pair_ok: dict[int, bool] = {}
@@ -59,6 +83,13 @@ class WordBpe:
         self._tables()
         self.counts = {"words": 0, "merged": 0}
 
+    def pieces(self, text: str) -> list[str]:
+        """The words of a text, normalised."""
+        plain = self.normal(text)
+        if not text.isascii() and SPECIAL_CASE.search(plain):
+            return self.late_words(plain.translate(LOWER_LATE))
+        return self.words(plain)
+
     def normal(self, text: str) -> str:
         """NFC and lower case character by character (so without the final-sigma rule of whole-string
         lower-casing). White space needs no normalising: the word pattern drops it."""
@@ -232,7 +263,7 @@ class WordBpe:
         for text in texts:
             parts.append([])
             for i, piece in enumerate(self.split_special(text or "")):
-                parts[-1].append(piece if i % 2 else self.words(self.normal(piece)))
+                parts[-1].append(piece if i % 2 else self.pieces(piece))
         missing: set[str] = set()
         for pieces in parts:
             for p in pieces:

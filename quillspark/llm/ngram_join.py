@@ -26,6 +26,8 @@ from .store import stage, table, text_key
 U = np.uint64
 #: Members of a block up to which one task joins it; larger ones are dealt out by pairs of parts.
 BLOCK = 2048
+#: Rounds of best partners before all pairs that are left.
+ROUNDS = 2
 LEAF = 32
 
 
@@ -94,8 +96,10 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, na, nb) -> np.ndarray:
     return np.minimum(a, b).sum(-1, dtype=np.int64) + beyond
 
 
-def rtree_join(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of points of different components whose bound reaches the needed overlap.
+def rtree_join(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None, best: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j) of points of different components whose bound reaches the needed overlap, and
+    the Jaccard similarity that the bound allows; ``best``: of each point's pairs only the one that
+    allows most (for points without any, none).
 
     The tree is packed by size and then by the fullest coordinates; a leaf's box holds the largest
     count in each coordinate and the least and largest set size. ``side``: if given, only pairs of
@@ -106,7 +110,8 @@ def rtree_join(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.nda
     high = np.array([points[x].max(0) for x in leaves])
     low_n, high_n = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
     spare = np.array([(n[x] - points[x].sum(1, dtype=np.int64)).max() for x in leaves])
-    left, right = [], []
+    left, right, ratio = [], [], []
+    most, mate = np.zeros(m), np.full(m, -1)
     for i, x in enumerate(leaves):
         top = np.minimum(high[i:], high[i]).sum(1, dtype=np.int64) + np.minimum(spare[i:], spare[i])
         near = (9 * top >= 4 * (low_n[i] + low_n[i:])) & (5 * high_n[i] >= 4 * low_n[i:])
@@ -118,25 +123,42 @@ def rtree_join(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.nda
                 ok &= side[x][:, None] != side[y][None, :]
             if i == j:
                 ok = np.triu(ok, 1)
-            a, b = np.nonzero(ok)
-            left.append(x[a])
-            right.append(y[b])
-    return (np.concatenate(left), np.concatenate(right)) if m else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _block_pairs(batches):
+            if not ok.any():
+                continue
+            alike = np.where(ok, bound / (n[x][:, None] + n[y][None, :] - bound), 0.0)
+            if best:
+                for one, other, z in ((x, y, alike), (y, x, alike.T)):
+                    k = z.argmax(1)
+                    top = z[np.arange(len(one)), k]
+                    better = top > most[one]
+                    most[one[better]], mate[one[better]] = top[better], other[k[better]]
+            else:
+                a, b = np.nonzero(ok)
+                left.append(x[a])
+                right.append(y[b])
+                ratio.append(alike[a, b])
+    if best:
+        some = np.flatnonzero(mate >= 0)
+        return some, mate[some], most[some]
+    return tuple(np.concatenate(z) if z else np.zeros(0, t) for z, t in ((left, np.int64), (right, np.int64), (ratio, float)))
+
+
+def _block_pairs(best: bool):
     """Runs the R-tree join over each block of a partition sorted by (key, i, j)."""
 
     def flush(rows):
         t = pa.Table.from_batches(rows).combine_chunks()
         n, comp, doc = (t.column(c).to_numpy() for c in ("n", "comp", "doc_id"))
         counts = t.column("counts").combine_chunks()
-        width = len(counts[0].as_py())
-        points = np.frombuffer(b"".join(counts.to_pylist()), np.uint8).reshape(len(n), width)
+        points = np.frombuffer(b"".join(counts.to_pylist()), np.uint8).reshape(len(n), len(counts[0].as_py()))
         i, j, part = (t.column(c).to_numpy() for c in ("i", "j", "part"))
-        a, b = rtree_join(points, n, comp, None if i[0] == j[0] else part == i[0])
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[a], doc[b])), pa.array(np.maximum(doc[a], doc[b]))], ["a", "b"])
+        a, b, alike = rtree_join(points, n, comp, None if i[0] == j[0] else part == i[0], best)
+        return pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b]), pa.array(alike)], ["a", "b", "alike"])
+
+    return lambda batches: _by_block(batches, flush)
+
 
+def _by_block(batches, flush):
     held, last = [], None
     for batch in batches:
         if not batch.num_rows:
@@ -226,18 +248,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     linked = stage(_verify(first, texts), "links1")
     comp = components(linked)
 
-    # Pass 2: blocks that still hold several components, across components only.
-    known = shared.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "cls", "c", F.coalesce("component", "doc_id").alias("comp"))
-    known = stage(known, "known")
-    mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    parts = F.ceil(F.col("c") / BLOCK).cast("int")
-    dealt = known.join(mixed, "key").join(side.selectExpr("node AS doc_id", "cls", "n", "counts"), ["doc_id", "cls"])
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "doc_id", "n", "comp", "counts")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = dealt.mapInArrow(_block_pairs, "a long, b long").distinct()
-    more = _verify(second, texts)
-    comp = components(linked.unionByName(more))
+    # Pass 2: blocks that still hold several components, across components only: first each member
+    # with the one partner in all its blocks that the bound favours, as long as that finds links,
+    # then whatever pairs are left.
+    known = shared.select("key", "doc_id", "cls", "c")
+    for round_ in range(ROUNDS + 1):
+        best = round_ < ROUNDS
+        known = known.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "cls", "c", F.coalesce("component", "doc_id").alias("comp"))
+        mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        known = stage(known.join(mixed, "key"), "known")
+        parts = F.ceil(F.col("c") / BLOCK).cast("int")
+        dealt = known.join(side.selectExpr("node AS doc_id", "cls", "n", "counts"), ["doc_id", "cls"])
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+        dealt = dealt.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "doc_id", "n", "comp", "counts")
+        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        pairs = dealt.mapInArrow(_block_pairs(best), "a long, b long, alike double")
+        if best:
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = stage(_verify(pairs, texts), "links2")
+        if not more.isEmpty():
+            linked = linked.unionByName(more)
+            comp = components(linked)
 
     # Back to documents. A node's own doc_id set joins the texts that share a doc_id.
     whose = member.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("rep", "rep_row")).otherwise(F.xxhash64("doc_id", "_row")))

@@ -52,8 +52,8 @@ def window_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: hashes and positions of the selected anchors, and first and last start of the
-    windows that select each; and nothing for texts shorter than a window."""
+    """Of one text of a window or more: hashes of the selected anchors, hashes of their contexts (the
+    windows that select one in a row), first start and number of further starts of these windows."""
     n = len(raw)
     h, inv = prefix_hash(raw)
     grams = mix((h[ANCHOR:] - h[: n - ANCHOR + 1]) * inv[: n - ANCHOR + 1], 41)
@@ -62,26 +62,33 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     last = np.append(first[1:] - 1, len(chosen) - 1)
     a, b = first, last + LENGTH
     whole = mix((h[b] - h[a]) * inv[a] + (b - a).astype(np.uint64) * np.uint64(977) + (chosen[first] - a).astype(np.uint64), 42)
-    return grams[chosen[first]], chosen[first], first, last, whole
+    return grams[chosen[first]], whole, first, last - first
+
+
+ROWS = "doc_id long, _row long, anchor long, whole long, span int, first array<int>"
 
 
 def _anchor_rows(batches):
-    names = ["doc_id", "_row", "anchor", "whole", "first", "last"]
+    """A row for each distinct context of a text, with all its places: a text that repeats itself
+    gives few rows."""
     for part in slices(batches, "text"):
         raw, off = batch_bytes(part.column("text"))
         ids, row = part.column("doc_id").to_pylist(), part.column("_row").to_pylist()
-        out = [[] for _ in names]
-        doc, rows = [], []
+        doc, rows, found = [], [], []
         for k, (a, b) in enumerate(zip(off[:-1], off[1:])):
             if b - a >= LENGTH:
-                got = anchors(raw[a:b])
-                for c, x in zip(out[2:], (signed(got[0]), signed(got[4]), got[2], got[3])):
-                    c.append(x)
-                doc += [ids[k]] * len(got[0])
-                rows += [row[k]] * len(got[0])
+                anchor, whole, first, span = anchors(raw[a:b])
+                order = np.argsort(whole, kind="stable")
+                new = np.flatnonzero(np.concatenate(([True], np.diff(whole[order].astype(np.int64)) != 0)))
+                one = order[new]
+                found.append((anchor[one], whole[one], span[one], first[order], np.diff(np.append(new, len(order)))))
+                doc += [ids[k]] * len(one)
+                rows += [row[k]] * len(one)
         if doc:
-            long = [np.concatenate(c) for c in out[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rows, pa.int64()), *(pa.array(c) for c in long[:2]), *(pa.array(c.astype(np.int32)) for c in long[2:])], names)
+            anchor, whole, span, first, many = (np.concatenate(c) for c in zip(*found))
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(first.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rows, pa.int64()), pa.array(signed(anchor)), pa.array(signed(whole)), pa.array(span.astype(np.int32)), places],
+                                             ["doc_id", "_row", "anchor", "whole", "span", "first"])
 
 
 # --- the index --------------------------------------------------------------------------------
@@ -209,7 +216,7 @@ def _contexts(batches):
                 whole.append(w["whole"])
                 anchor.append(w["anchor"])
                 count.append(w["kinds"])
-                cut.append(raw[w["first"] : w["last"] + LENGTH])
+                cut.append(raw[w["first"] : w["first"] + w["span"] + LENGTH])
         yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64()), pa.array(anchor, pa.int64()), pa.array(count, pa.int64()), pa.array(cut, pa.binary())], ["whole", "anchor", "kinds", "context"])
 
 
@@ -245,13 +252,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hashes of their bytes.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("_row"))
-    rows = source.mapInArrow(_anchor_rows, "doc_id long, _row long, anchor long, whole long, first int, last int")
+    rows = source.mapInArrow(_anchor_rows, ROWS)
     # Anchors in two places: one sorted pass that can spill over narrow rows, never a collected group.
-    shared = stage(rows.selectExpr("*", "count(*) OVER (PARTITION BY anchor) AS c").where("c > 1").drop("c"), "shared")
+    shared = stage(rows.selectExpr("*", "sum(size(first)) OVER (PARTITION BY anchor) AS c").where("c > 1").drop("c"), "shared")
     # Equal contexts once, with their number; counts are combined before the shuffle.
-    kinds = stage(shared.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_row", "first", "last")).alias("at")), "kinds")
+    kinds = stage(shared.groupBy("anchor", "whole").agg(F.sum(F.size("first")).alias("n"), F.min(F.struct("doc_id", "_row", F.element_at("first", 1).alias("first"), "span")).alias("at")), "kinds")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(mixed, "anchor").groupBy("at.doc_id", "at._row").agg(F.collect_list(F.struct("whole", "anchor", "kinds", "at.first", "at.last")).alias("wanted"))
+    wanted = kinds.join(mixed, "anchor").groupBy("at.doc_id", "at._row").agg(F.collect_list(F.struct("whole", "anchor", "kinds", "at.first", "at.span")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "wanted")
     cut = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select("text", "wanted")
     contexts = stage(cut.mapInArrow(_contexts, "whole long, anchor long, kinds long, context binary"), "contexts")
@@ -263,7 +270,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     twice = kinds.where("n > 1").select("whole", F.lit(0).cast("long").alias("x"), F.lit(None).cast("long").alias("y"))
     once = hits.join(kinds.where("n = 1").select("whole"), "whole", "left_semi")
     told = stage(twice.unionByName(once), "told")
-    marked = shared.join(told, "whole").select("doc_id", "_row", F.struct((F.col("first") + F.col("x")).alias("first"), F.coalesce(F.col("first") + F.col("y") - 1, F.col("last")).alias("last")).alias("r"))
+    marked = shared.join(told, "whole").select("doc_id", "_row", "x", F.coalesce(F.col("y") - 1, F.col("span")).alias("z"), F.explode("first").alias("p"))
+    marked = marked.select("doc_id", "_row", F.struct((F.col("p") + F.col("x")).alias("first"), (F.col("p") + F.col("z")).alias("last")).alias("r"))
     runs = marked.groupBy("doc_id", "_row").agg(F.collect_set("r").alias("_runs")).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "_runs")
     joined = source.join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
     out = joined.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text", "_runs")

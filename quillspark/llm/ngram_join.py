@@ -28,6 +28,7 @@ U = np.uint64
 BLOCK = 2048
 #: Rounds of best partners before all pairs that are left.
 ROUNDS = 2
+PART_OF_BLOCKS = 8
 LEAF = 32
 
 
@@ -101,20 +102,23 @@ def rtree_join(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.nda
     the Jaccard similarity that the bound allows; ``best``: of each point's pairs only the one that
     allows most (for points without any, none).
 
-    The tree is packed by size and then by the fullest coordinates; a leaf's box holds the largest
-    count in each coordinate and the least and largest set size. ``side``: if given, only pairs of
-    a 0 with a 1.
+    The tree is packed by component (the small ones together) and then by size; a leaf's box holds
+    the largest count in each coordinate, the least and largest set size and component: two leaves
+    of one component need no look. ``side``: if given, only pairs of a 0 with a 1.
     """
-    order = np.lexsort((points.argmax(1), n))
+    _, of, many = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.lexsort((n, np.where(many[of] >= LEAF, of + 1, 0)))
     m, leaves = len(order), [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
     high = np.array([points[x].max(0) for x in leaves])
     low_n, high_n = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
     spare = np.array([(n[x] - points[x].sum(1, dtype=np.int64)).max() for x in leaves])
+    comp_low, comp_high = np.array([of[x].min() for x in leaves]), np.array([of[x].max() for x in leaves])
     left, right, ratio = [], [], []
     most, mate = np.zeros(m), np.full(m, -1)
     for i, x in enumerate(leaves):
         top = np.minimum(high[i:], high[i]).sum(1, dtype=np.int64) + np.minimum(spare[i:], spare[i])
-        near = (9 * top >= 4 * (low_n[i] + low_n[i:])) & (5 * high_n[i] >= 4 * low_n[i:])
+        near = (9 * top >= 4 * (low_n[i] + low_n[i:])) & (5 * np.minimum(high_n[i], high_n[i:]) >= 4 * np.maximum(low_n[i], low_n[i:]))
+        near &= (comp_low[i] != comp_high[i:]) | (comp_high[i] != comp_low[i:])
         for j in np.flatnonzero(near) + i:
             y = leaves[j]
             bound = overlap_bound(points[x][:, None, :], points[y][None, :, :], n[x][:, None], n[y][None, :])
@@ -258,7 +262,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
         known = stage(known.join(mixed, "key"), "known")
         parts = F.ceil(F.col("c") / BLOCK).cast("int")
-        dealt = known.join(side.selectExpr("node AS doc_id", "cls", "n", "counts"), ["doc_id", "cls"])
+        # The first rounds only save the last one work: each takes another part of the blocks.
+        tried = known.where(F.pmod(F.xxhash64("key"), F.lit(PART_OF_BLOCKS)) == round_) if best else known
+        dealt = tried.join(side.selectExpr("node AS doc_id", "cls", "n", "counts"), ["doc_id", "cls"])
         dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
         dealt = dealt.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "doc_id", "n", "comp", "counts")
         dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")

@@ -12,6 +12,10 @@ from quillspark.llm import bpe, line_dedup, mixing, ngram_join, toxicity
 from quillspark.llm.store import stage, table
 
 
+#: Targets of the mixing stage, as multiples of each domain's tokens; reached by repeats alone.
+MIX_LIFT = {"good": 1.2, "low": 1.05}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the CRF scores at the threshold or over; the others stay as they are."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -33,8 +37,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate says, and never less than once."""
-    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), floor=1.0)
+    """Each document as often as its fitted rate says, and never less than once: so the targets here
+    are over the totals at rate 1."""
+    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), floor=1.0, lift=MIX_LIFT)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

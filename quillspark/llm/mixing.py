@@ -1,15 +1,17 @@
 """Soft-membership mixing to target token weights (operator 8, native).
 
 A naive Bayes classifier over a few text measures, counted on the labelled table, gives each document
-a posterior over domains. Projected gradient descent then fits nonnegative document rates so that the
+a posterior over domains. Projected gradient steps then fit nonnegative document rates so that the
 expected token total of every domain, sum over documents of rate * tokens * posterior, meets its
-target. A step needs only the domains' totals (a handful of sums), so nothing but those reaches the
-driver. DataFrame and SQL functions only.
+target. A step is preconditioned by the domains' K x K second moments over the documents that are
+not at the bound, and steps go on until nothing is left to gain. A step needs only the domains' sums,
+so nothing but those reaches the driver. DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +20,13 @@ from .store import stage, table, text_key
 
 #: Domains, by the labelled table: (name, predicate on its columns).
 DOMAINS = [("good", "quality = 1"), ("low", "quality = 0")]
-#: Target of each domain's expected tokens, as a multiple of what the corpus expects at rate 1.
-LIFT = {"good": 1.2, "low": 1.05}
-STEPS = 30
-#: Gradient steps are written down after so many, which bounds the depth of a plan.
-WRITE_EVERY = 4
-TOLERANCE = 1e-6
+#: Target of each domain's expected tokens, as a multiple of what the corpus expects at rate 1: low
+#: enough that documents of the low domain reach the projection's bound.
+LIFT = {"good": 1.0, "low": 0.05}
+#: Weight, in the loss, of the rates' distance from 1 against that of the targets (over the curvature).
+PULL = 1e-8
+#: Steps end with a gradient of this share of all tokens; a target off by more than UNMET is reported.
+TOLERANCE, UNMET = 1e-9, 1e-6
 
 
 #: Counted strings of a text (share of its bytes times the scale, up to the top, is a code).
@@ -72,48 +75,80 @@ def posteriors(facts: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", "_row", "tokens", F.array(*[F.col(f"_e{i}") / total for i in range(k)]).alias("p"))
 
 
-def fit_rates(facts: DataFrame, targets: list[float] | None = None, lift: dict[str, float] | None = None, steps: int = STEPS, floor: float = 0.0) -> DataFrame:
-    """Adds ``rate`` (nonnegative, starting at 1) to rows with ``tokens`` and ``p``.
+def fit_rates(facts: DataFrame, targets: list[float] | None = None, lift: dict[str, float] | None = None, floor: float = 0.0) -> DataFrame:
+    """Adds ``rate`` (``floor`` or more, 1 before any step) to rows with ``tokens`` and ``p``.
 
-    Minimises half the sum over domains of (S_c - T_c)^2, S_c = sum of rate * tokens * p_c, by
-    projected gradient descent in the metric that weighs a document by its tokens: a step takes
-    length * (p . gap) off every rate and sets what falls below ``floor`` (0) to that. The first step solves for
-    the K lengths at once (from the K x K sums of tokens * p_c * p_d), which is exact where no rate
-    falls below it; later ones are plain, of length 1 over the largest curvature. Ends when every
-    target is met within 1e-6 of the total, when a step no longer gains, or after ``steps``.
+    Minimises half the sum over domains of (S_c - T_c)^2, S_c = sum of rate * tokens * p_c; of the
+    rates that do, those nearest to 1 (in squares weighed by tokens) are taken. They have the form
+    max(``floor``, 1 - p . y) with K numbers y, which projected gradient steps find: each takes the
+    gradient in y times the inverse of the K x K sums of tokens * p_c * p_d over the documents
+    whose rate is not at the bound, halved while it doesn't gain enough. A small ridge around a
+    centre keeps y finite; the centre moves to the y found until that brings no total nearer to its
+    target. The problem is convex, and quadratic between bounds, so the steps end at its solution:
+    there is no cap on them. Where ``floor`` or the posteriors put a target out of reach the rates
+    are those of least loss, and a warning gives the totals met.
     ``targets`` are token totals; by default ``lift`` times the totals at rate 1. Documents without
     tokens keep rate 1.
     """
     k = len(DOMAINS)
     p = [F.element_at("p", i + 1) for i in range(k)]
-    # Second moments over all documents: A[c][d] = sum tokens * p_c * p_d, the step's curvature.
-    sums = facts.agg(*[F.coalesce(F.sum(F.col("tokens") * p[i]), F.lit(0.0)) for i in range(k)], *[F.coalesce(F.sum(F.col("tokens") * p[i] * p[j]), F.lit(0.0)) for i in range(k) for j in range(k)]).first()
-    base, a = list(sums[:k]), [list(sums[k + i * k : k + i * k + k]) for i in range(k)]
+    move = lambda y: sum(p[i] * F.lit(float(y[i])) for i in range(k))
+    rate = lambda y: F.greatest(1 - move(y), F.lit(float(floor)))
+
+    def at(y: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        """Sum of tokens times the integral of the rate along y, the domains' totals, and their moments over the free documents."""
+        u, loose = move(y), 1 - move(y) >= floor
+        # u - u^2 / 2 up to the bound, from there on floor times what follows.
+        edge = 1.0 - floor
+        area = F.when(loose, u - u * u / 2).otherwise(F.lit(edge - edge * edge / 2) + (u - edge) * floor)
+        weigh = lambda x: F.coalesce(F.sum(F.col("tokens") * x), F.lit(0.0))
+        got = facts.agg(weigh(area), *[weigh(rate(y) * p[i]) for i in range(k)], *[weigh(F.when(loose, p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)]).first()
+        return got[0], list(got[1 : k + 1]), [list(got[k + 1 + i * k : k + 1 + i * k + k]) for i in range(k)]
+
+    *base, full = facts.agg(*[F.coalesce(F.sum(F.col("tokens") * x), F.lit(0.0)) for x in (*p, sum(q * q for q in p))]).first()
     if targets is None:
         lift = lift or LIFT
         targets = [base[i] * lift[DOMAINS[i][0]] for i in range(k)]
-    total = sum(base) or 1.0
-    rated, now, last = facts.withColumn("rate", F.lit(1.0)), base, float("inf")
-    steepest = max(sum(abs(x) for x in row) for row in a) or 1.0
-    for step in range(steps):
-        gap = [s - t for s, t in zip(now, targets)]
-        loss = sum(g * g for g in gap)
-        if max(abs(g) for g in gap) <= TOLERANCE * total or (step > 1 and loss > last * (1 - 1e-5)):
+    total, ridge = sum(base) or 1.0, PULL * (full or 1.0)
+    dot = lambda x, z: sum(i * j for i, j in zip(x, z))
+
+    def state(y: list[float], centre: list[float]):
+        area, now, a = at(y)
+        d = [i - j for i, j in zip(y, centre)]
+        return dot(targets, y) - area + ridge * dot(d, d) / 2, [t - s + ridge * x for t, s, x in zip(targets, now, d)], a, now
+
+    def done(slope: list[float], y: list[float], share: float = TOLERANCE) -> bool:
+        return max(map(abs, slope)) <= total * (share + 4e-16 * max(map(abs, y)))  # the second: rounding of p . y
+
+    y, last = [0.0] * k, float("inf")
+    while True:
+        centre, (value, slope, a, now) = y, state(y, y)
+        off = max(abs(t - s) for t, s in zip(targets, now))
+        if off <= TOLERANCE * total or off > 0.9 * last:
             break
-        last = loss
-        y = [g / steepest for g in gap] if step else _solve(a, gap)
-        move = sum(p[i] * F.lit(float(y[i])) for i in range(k))
-        rated = rated.withColumn("rate", F.when(F.col("tokens") > 0, F.greatest(F.col("rate") - move, F.lit(float(floor)))).otherwise(F.lit(1.0)))
-        if step % WRITE_EVERY == WRITE_EVERY - 1:
-            rated = stage(rated, "rates")
-        now = [x or 0.0 for x in rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[i]) for i in range(k)]).first()]
-    return rated
-
-
-def _solve(a: list[list[float]], b: list[float]) -> list[float]:
+        last = off
+        while not done(slope, y):
+            step, length = _solve(a, [-g for g in slope], ridge), 1.0
+            while length > 1e-9:
+                there = [x + length * d for x, d in zip(y, step)]
+                ahead = state(there, centre)
+                if ahead[0] <= value + 1e-4 * length * dot(slope, step) or done(ahead[1], there):
+                    break
+                length /= 2
+            else:  # what is left is rounding, or it isn't solved
+                if done(slope, y, UNMET):
+                    break
+                raise ArithmeticError(f"rates: no step gains from {y}, gradient {slope}")
+            y, (value, slope, a, now) = there, ahead
+    missed = [f"{DOMAINS[i][0]} {now[i]:.6g} of {targets[i]:.6g}" for i in range(k) if abs(now[i] - targets[i]) > UNMET * total]
+    if missed:
+        warnings.warn(f"token targets not met, out of reach with rates of {floor:g} and more: {', '.join(missed)}", stacklevel=2)
+    return facts.withColumn("rate", F.when(F.col("tokens") > 0, rate(y)).otherwise(F.lit(1.0)))
+
+
+def _solve(a: list[list[float]], b: list[float], ridge: float) -> list[float]:
     """Gaussian elimination of a small ridge system."""
     n = len(b)
-    ridge = 1e-9 * (sum(a[i][i] for i in range(n)) or 1.0)
     m = [[a[i][j] + (ridge if i == j else 0.0) for j in range(n)] + [b[i]] for i in range(n)]
     for i in range(n):
         best = max(range(i, n), key=lambda r: abs(m[r][i]))
@@ -140,10 +175,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: list[float] | None = None,
     return rated.withColumn("copies", (F.floor("rate") + (dice < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, floor: float = 0.0) -> DataFrame:
+def apply_mix(docs: DataFrame, labels: DataFrame, floor: float = 0.0, lift: dict[str, float] | None = None) -> DataFrame:
     """The documents, each as often as its ``copies``; columns stay. With ``floor`` 1 none is left
     out: targets over the totals at rate 1 are then met by repeats alone, as far as they can be."""
-    mixed = mix(docs, labels, floor=floor).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("copies").alias("_copies"))
+    mixed = mix(docs, labels, lift=lift, floor=floor).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("copies").alias("_copies"))
     keyed = docs.withColumn("_key", text_key())
     joined = keyed.join(mixed, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_r")))
     return joined.withColumn("_n", F.explode(F.expr("CASE WHEN _copies > 0 THEN sequence(1, _copies) ELSE cast(array() AS array<int>) END"))).select(*docs.columns)

@@ -1,9 +1,11 @@
 import random
+import warnings
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm.mixing import DOMAINS, LIFT, apply_mix, described, fit_rates, mix
+from quillspark.llm.mixing import DOMAINS, LIFT, apply_mix, described, fit_rates, mix, op8_soft_mixing
 
 SCHEMA = "doc_id long, text string, tokens string, rate int"
 
@@ -66,3 +68,38 @@ def test_copies_and_edges(spark):
     assert apply_mix(docs.limit(0), labels).collect() == []
     assert mix(docs, labels.limit(0)).where(F.abs(F.element_at("p", 1) - 0.5) > 1e-9).count() == 0
     assert described(docs).where("tokens < 0").count() == 0
+
+
+def test_targets_that_need_the_projection_are_met(spark):
+    # Posteriors of all kinds: the low total can only fall this far with many rates at the bound.
+    rnd = np.random.default_rng(5)
+    low = rnd.beta(0.5, 2.0, 300)
+    rows = [(i, int(t), [1 - float(q), float(q)]) for i, (t, q) in enumerate(zip(rnd.integers(1, 900, 300), low))]
+    facts = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    t, p = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+    base = t @ p
+    got = fit_rates(facts, lift={"good": 1.0, "low": 0.2}).orderBy("doc_id").collect()
+    r = np.array([x.rate for x in got])
+    assert (r >= 0).all() and (r == 0).sum() > 30
+    assert np.allclose((r * t) @ p, base * [1.0, 0.2], rtol=1e-5)
+    # Nearest to 1: off the bound 1 - rate is a combination of the posteriors, at it no more than that.
+    y = np.linalg.lstsq(p[r > 0], 1 - r[r > 0], rcond=None)[0]
+    assert np.allclose(r, np.maximum(1 - p @ y, 0), atol=1e-5)
+
+
+def test_targets_out_of_reach_are_told(spark):
+    facts = spark.createDataFrame([(i, 100, [0.9, 0.1] if i % 2 else [0.2, 0.8]) for i in range(50)], "doc_id long, tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="out of reach.*good 364.7.* of 200"):
+        fit_rates(facts, targets=[200.0, 1500.0])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        fit_rates(facts, targets=[600.0, 1500.0])
+
+
+def test_registered_targets_reach_the_bound(spark, tmp_path):
+    docs, labels = frames(spark)
+    assert min(LIFT.values()) < 0.1
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = op8_soft_mixing(spark, str(tmp_path)).collect()
+    assert {x.copies for x in out if x.tokens > 20 and x.p_low > 0.99} == {0, 1} and min(x.rate for x in out) >= 0

@@ -1,10 +1,11 @@
 """Line dedup by winnowing over line hashes (operator 10).
 
-A text's lines are hashed. From each line a gram reaches forward to ``GRAM`` words; the least gram
-hash in every window of ``GRAM`` words of gram starts is selected, so any repeated run of whole lines
-with ``2 * GRAM`` words contains a selected gram (the winnowing guarantee). Positions are joined on
-grams; where a gram occurs twice, the match is extended both ways, line by line, to the runs of
-``2 * GRAM`` words that contain it, and every such run that has an earlier occurrence is deleted.
+A text's lines are hashed. A run counts from ``least`` words on; from each line a gram reaches forward
+to half of that. The least gram hash in every window of as many words of gram starts is selected, so
+any repeated run of whole lines with ``least`` words contains a selected gram (the winnowing
+guarantee). Positions are joined on grams; where a gram occurs twice, the match is extended both ways,
+line by line, to the runs of ``least`` words that contain it, and every such run that has an earlier
+occurrence is deleted.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import types as T
 from .kernel import WHITE, batch_bytes, byte_set, mix, prefix_hash, signed, slices, spans
 from .store import stage, table, text_key
 
-#: Words of a gram; runs of twice as many are found for sure, and only runs of that length deleted.
-GRAM = 25
+#: Words of the shortest run that is deleted, where no other number is given.
+LEAST = 50
+#: The same for the registered query, which takes single repeated lines, too.
+LEAST_LINE = 8
 NEWLINE = byte_set([0x0A])
 
 
@@ -55,18 +58,18 @@ def _run_hashes(hashed: np.ndarray):
     return lambda a, b: mix((total[b + 1] - total[a]) * back[a] + (b - a + 1).astype(np.uint64), 32)
 
 
-def winnow(hashed: np.ndarray, words: np.ndarray, gram: int = GRAM) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+def winnow(hashed: np.ndarray, words: np.ndarray, least: int = LEAST) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
     """The selected grams of one text: (gram hash, line, runs), a run being (hash, first, last
-    line) of a least run of ``2 * gram`` words, from its first line on or from its last line back,
+    line) of a least run of ``least`` words, from its first line on or from its last line back,
     that contains the gram."""
-    n = len(hashed)
+    n, gram = len(hashed), max(1, least // 2)
     total = np.concatenate(([0], np.cumsum(words)))
-    if total[-1] < 2 * gram:
+    if total[-1] < least:
         return []
     run = _run_hashes(hashed)
     line = np.arange(n)
     reach = np.searchsorted(total, total[:-1] + gram) - 1  # last line of the gram from each line
-    whole = np.searchsorted(total, total[:-1] + 2 * gram) - 1
+    whole = np.searchsorted(total, total[:-1] + least) - 1
     starts = line[reach < n]
     grams = run(starts, reach[starts])
     chosen: set[int] = set()
@@ -78,12 +81,12 @@ def winnow(hashed: np.ndarray, words: np.ndarray, gram: int = GRAM) -> list[tupl
     out = []
     for s in sorted(chosen):
         g = int(reach[s])
-        # Extended to the left up to 2 * gram words, then no further to the right than needed; and
+        # Extended to the left up to least words, then no further to the right than needed; and
         # the other way about, so that the last lines of a longer run are in one of these, too.
-        a = np.arange(s, int(np.searchsorted(total, total[s] - 2 * gram, "right")) - 1, -1)
+        a = np.arange(s, int(np.searchsorted(total, total[s] - least, "right")) - 1, -1)
         a = a[(a >= 0) & (whole[a] >= g) & (whole[a] < n)]
-        d = np.arange(g, min(n, int(np.searchsorted(total, total[g + 1] + 2 * gram)) + 1))
-        c = np.searchsorted(total, total[d + 1] - 2 * gram, "right") - 1
+        d = np.arange(g, min(n, int(np.searchsorted(total, total[g + 1] + least)) + 1))
+        c = np.searchsorted(total, total[d + 1] - least, "right") - 1
         c, d = np.minimum(c, s)[(c >= 0) & ((c <= s) | (d == g))], d[(c >= 0) & ((c <= s) | (d == g))]
         pairs = np.unique(np.concatenate((a, c)) * n + np.concatenate((whole[a], d)))
         a, b = pairs // n, pairs % n
@@ -92,23 +95,25 @@ def winnow(hashed: np.ndarray, words: np.ndarray, gram: int = GRAM) -> list[tupl
     return out
 
 
-def _grams(batches):
-    for part in slices(batches, "text"):
-        hashed, words, first = line_table(part.column("text"))
-        rows = [(d, r, g, at, [h for h, _, _ in runs], [a for _, a, _ in runs], [b for _, _, b in runs])
-                for d, r, x, y in zip(part.column("doc_id").to_pylist(), part.column("_row").to_pylist(), first[:-1], first[1:])
-                for g, at, runs in winnow(hashed[x:y], words[x:y])]
-        if rows:
-            c = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in c[4:])],
-                                             ["doc_id", "_row", "gram", "at", "run", "first", "last"])
+def _grams(least):
+    def run(batches):
+        for part in slices(batches, "text"):
+            hashed, words, first = line_table(part.column("text"))
+            rows = [(d, r, g, at, [h for h, _, _ in runs], [a for _, a, _ in runs], [b for _, _, b in runs])
+                    for d, r, x, y in zip(part.column("doc_id").to_pylist(), part.column("_row").to_pylist(), first[:-1], first[1:])
+                    for g, at, runs in winnow(hashed[x:y], words[x:y], least)]
+            if rows:
+                c = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in c[4:])],
+                                                 ["doc_id", "_row", "gram", "at", "run", "first", "last"])
+    return run
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``(doc_id, _row, cuts)``: for each document with later repeats, its runs as an array of
     structs (first, last line)."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("_row"))
-    found = stage(source.mapInArrow(_grams, "doc_id long, _row long, gram long, at long, run array<long>, first array<long>, last array<long>"), "grams")
+    found = stage(source.mapInArrow(_grams(least), "doc_id long, _row long, gram long, at long, run array<long>, first array<long>, last array<long>"), "grams")
     # Grams that stand in two places; equal rows are one document. Counted before the shuffle.
     place = F.struct("doc_id", "_row", "at")
     twice = found.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("gram")
@@ -137,11 +142,11 @@ def _cut(schema_names):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 2 * GRAM) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = LEAST) -> DataFrame:
     """Every document with the later repeats of runs of whole lines taken out of its text, and
     ``_removed``, the number of lines taken; the other columns stay.
 
-    A line is deleted if it lies in a run of consecutive whole lines with 50 words or more that
+    A line is deleted if it lies in a run of consecutive whole lines with ``min_words`` words or more that
     also occurs earlier: in a document of smaller doc_id, or further up in the same one (judged on
     the input, not on what is left; lines are equal byte for byte and split at newlines only; a
     tie of doc_id goes by line and then by the text's hash). Shorter repeats stay, and so does the
@@ -150,10 +155,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 2 * GRAM) -> DataFrame:
     loses all lines becomes empty; its row stays. Extra columns stay; ``_row`` and ``_removed``
     are this operator's own.
     """
-    if min_words != 2 * GRAM:
-        raise ValueError("runs are found from 50 words on")
+    if min_words < 1:
+        raise ValueError("a run has one word at least")
     docs = docs.drop("_row", "_removed", "_cuts")
-    cuts = repeated_runs(docs).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("cuts").alias("_cuts"))
+    cuts = repeated_runs(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("cuts").alias("_cuts"))
     keyed = docs.withColumn("_row", text_key())
     joined = keyed.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("_removed", T.LongType())])
@@ -161,7 +166,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 2 * GRAM) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed and the SHA-256 of the text that is left."""
+    """Per document: doc_id, n_lines, n_removed and the SHA-256 of the text that is left, without the
+    repeats of ``LEAST_LINE`` words and more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, LEAST_LINE)
     return out.select("doc_id", "n_lines", F.col("_removed").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))

@@ -1,6 +1,8 @@
 import random
 
-from quillspark.llm.line_dedup import dedup_lines
+import pytest
+
+from quillspark.llm.line_dedup import dedup_lines, op10_line_dedup
 
 SCHEMA = "doc_id long, text string, _row string, cuts int, n_chars long"
 
@@ -63,3 +65,19 @@ def test_edges(spark):
     rows = [(1, long), (1, long), (3, long)]
     got = sorted((r.doc_id, len(r.text), r._removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, len(long), 0), (1, len(long), 0), (3, 0, 4000)]
+
+
+@pytest.mark.parametrize("least", [1, 2, 7, 8, 25])
+def test_shorter_runs_equal_brute_force(spark, least):
+    for seed in range(2):
+        rows = corpus(seed)
+        got = {r.doc_id: (r.text, r._removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
+        assert got == brute(rows, least), seed
+    with pytest.raises(ValueError):
+        dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 0)
+
+
+def test_query_takes_repeated_lines(spark, tmp_path):
+    line = "this line of nine words is in all texts"
+    spark.createDataFrame([(i, f"start {i}\n{line}\nend {i}") for i in range(5)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id, r.n_lines, r.n_removed) for r in op10_line_dedup(spark, str(tmp_path)).collect()) == [(0, 3, 0)] + [(i, 3, 1) for i in range(1, 5)]

@@ -166,27 +166,19 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 20) -> Model:
     ids = lookup(vocab, w)
     gold = np.append(marked, False)[ids] & (y[doc] > 0)
     start, length = chains(first)
-    # Of the chains without any marked word every fourth is enough to learn clean text from.
-    held = np.concatenate(([0], np.cumsum(np.append(marked, False)[ids])))
-    some = (held[start + length] > held[start]) | (np.arange(len(start)) % 4 == 0)
-    start, length = start[some], length[some]
     nv = len(vocab) + 1
     emission, trans, initial = np.full(nv, -2.0), np.zeros((2, 2)), np.zeros(2)
     g = gold.astype(int)
-    used = np.zeros(len(w) + 1, int)
-    np.add.at(used, start, 1)
-    np.add.at(used, start + length, -1)
-    used = np.cumsum(used[:-1]) > 0
-    inner = used.copy()
+    inner = np.ones(len(w), bool)
     inner[start + length - 1] = False
     inner = np.flatnonzero(inner)
     want_pair = np.zeros((2, 2))
     np.add.at(want_pair, (g[inner], g[inner + 1]), 1)
     want_first = np.bincount(g[start], minlength=2).astype(float)
-    want = np.bincount(ids[used], g[used], minlength=nv)
-    many = np.bincount(ids[used], minlength=nv) + 4.0
+    want = np.bincount(ids, g, minlength=nv)
+    many = np.bincount(ids, minlength=nv) + 4.0
     for _ in range(rounds):  # gradient ascent, each weight scaled by how often it is seen
-        p, _, pair, now_first = forward_backward(emission[ids], start, length, trans, initial)  # 0 outside the chains
+        p, _, pair, now_first = forward_backward(emission[ids], start, length, trans, initial)
         emission += np.clip(6 * (want - np.bincount(ids, p, minlength=nv) - 0.02 * emission) / many, -1.5, 1.5)
         trans += np.clip(2 * (want_pair - pair) / (want_pair + 50.0), -0.5, 0.5)
         initial += np.clip(2 * (want_first - now_first) / (want_first + 50.0), -0.5, 0.5)

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from quillspark.llm import toxicity
 from quillspark.llm.toxicity import apply, chains, fit, forward_backward, score, train
 
 BAD = ["idiot", "scum", "moron"]
@@ -74,3 +75,16 @@ def test_edges(spark):
     assert max(r.score for r in score(docs, none, ["doc_id"]).collect()) < 0.5
     fit(docs, rows.limit(0))
     assert zlib.crc32(b"1") % 3 in (0, 1, 2)
+
+
+def test_every_chain_is_trained_on(monkeypatch):
+    texts, labels = corpus()[:2]
+    seen = []
+
+    def spy(unary, start, length, *rest):
+        seen.append((len(start), int(length.sum())))
+        return forward_backward(unary, start, length, *rest)
+
+    monkeypatch.setattr(toxicity, "forward_backward", spy)
+    train(texts, labels)
+    assert len(set(seen)) == 1 and seen[0][0] >= sum(1 for t in texts if t)

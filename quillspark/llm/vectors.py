@@ -109,11 +109,13 @@ def approximate_neighbours(vectors: DataFrame, is_query: str, k: int = 20) -> Da
     nearest first, ties to the smaller vec_id; scores are exact, in double precision.
 
     Rows whose vector is null, empty, zero or has null or non-finite components take no part; of
-    rows that repeat a vec_id, one counts. Fewer candidates than ``k``: all of them. Vectors of
+    rows equal in vec_id and vector, one counts; different vectors of one vec_id are candidates
+    each, of other queries only, and as queries share the ``k`` ranks of their vec_id. Fewer
+    candidates than ``k``: all of them. Vectors of
     different lengths are not comparable and raise an error. Empty table: no rows. Other columns
     are not read. Every vector is in the index: each block has its own projections' sorted arrays.
     """
-    data = stage(usable(vectors).where("norm2 > 0").groupBy("vec_id").agg(F.min_by("v", "v").alias("v"), F.max("norm2").alias("norm2")), "vectors")
+    data = stage(usable(vectors).where("norm2 > 0").distinct(), "vectors")
     n, biggest = data.agg(F.count("*"), F.max("norm2")).first()
     blocks, batches = max(1, -(-n // BLOCK)), max(1, -(-n // 20 // BATCH))
     radius = float(np.sqrt(biggest or 0.0))
@@ -200,12 +202,13 @@ def exact_top(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -
     floor(``scale`` * x), x as double; ties to the smaller vec_id.
 
     Vectors null, empty or holding null or non-finite components take no part (zero vectors do);
-    of rows that repeat a vec_id, one counts. Fewer candidates than ``k``: all. Vectors of different
+    of rows equal in vec_id and vector, one counts; different vectors of one vec_id are candidates
+    each, of other queries only, and as queries share the ``k`` ranks. Fewer candidates than ``k``: all. Vectors of different
     lengths raise an error. Empty table: no rows. Other columns are not read. Scores are 64-bit
     integers.
     """
-    data = usable(vectors).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
-    data = stage(data.groupBy("vec_id").agg(F.min_by("v", "v").alias("v")), "integers")
+    data = usable(vectors).select("vec_id", "v").distinct()
+    data = stage(data.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v")), "integers")
     n = data.count()
     blocks, batches = max(1, -(-n // BLOCK)), max(1, -(-n // 50 // BATCH))
     d, q = _groups(data.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")), data.where(is_query), blocks, batches)

@@ -62,3 +62,13 @@ def test_few_and_none(spark):
     for f in (approximate_neighbours, exact_top):
         assert f(few.limit(0), "vec_id % 20 = 0").collect() == []
         assert f(few.where("vec_id = 0"), "vec_id % 20 = 0").collect() == []
+
+
+def test_different_vectors_of_one_id_all_count(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 0.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.5, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    kept = [rows[i] for i in (0, 1, 2, 3, 5)]
+    pairs = sorted((-(v[0] * w[0] + v[1] * w[1]), j) for i, v in kept for j, w in kept if i == 0 and j != 0)
+    for f, scale in ((lambda d, q: approximate_neighbours(d, q, 20), 1), (lambda d, q: exact_top(d, q, 20), 256 * 256)):
+        got = [(-r.score / scale, r.vec_id) for r in f(df, "vec_id = 0").orderBy("rank").collect()]
+        assert got == pairs and len(got) == 6

@@ -100,6 +100,12 @@ def contractions(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.expand_contractions(text).alias("expanded"))
 
 
+@query()
+def contractions_whole(spark, sf_dir):
+    """Whole texts as they are, apostrophes and all; no SQL, tests hold it against brute force."""
+    return docs(spark, sf_dir).select("doc_id", T.expand_contractions(F.col("text")).alias("expanded"))
+
+
 MARKS = ("*** START OF THE PROJECT GUTENBERG EBOOK X ***", "*** END OF THE PROJECT GUTENBERG EBOOK X ***")
 
 

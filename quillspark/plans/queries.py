@@ -130,6 +130,13 @@ def previews(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.preview(t, 150).alias("preview"), T.preview(t, 1000, True).alias("always"), T.short_title(F.substring(t, 1, 25)).alias("title"), T.safe_id(F.substring(t, 1, 40)).alias("safe"), T.safe_id(F.substring(t, 1, 40), "").alias("bare"))
 
 
+@query("""SELECT doc_id, CASE WHEN length(text) > 18 THEN left(text, 15) || '...' ELSE text END AS title,
+  regexp_replace(text, '[^a-zA-Z0-9]', '_', 'g') AS safe, regexp_replace(text, '[^a-zA-Z0-9]', '', 'g') AS bare FROM documents""")
+def names_whole(spark, sf_dir):
+    t = F.col("text")
+    return docs(spark, sf_dir).select("doc_id", T.short_title(t).alias("title"), T.safe_id(t).alias("safe"), T.safe_id(t, "").alias("bare"))
+
+
 def _case(column: str, table: dict[str, str], default: str) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {default} END"
 

@@ -3,7 +3,7 @@ import re
 import pytest
 
 from quillspark.functions.words import CONTRACTIONS
-from quillspark.plans.queries import QUERIES
+from quillspark.plans.queries import ORACLES, QUERIES
 
 TEXTS = [None, "", "Don't stop; it\u2019s CAN'T, xdon't", "word, " * 20000 + "we've é isn't", "a" * 18, "a" * 19, "Ab-1 " * 30 + "é\n_Z"]
 
@@ -23,3 +23,17 @@ def test_contractions_of_whole_texts_are_expanded(spark, sf_dir):
     got = {r.doc_id: r.expanded for r in QUERIES["contractions_whole"](spark, sf_dir).collect()}
     assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
     assert got[3].endswith("we have é is not")
+
+
+def test_names_of_whole_texts(spark, sf_dir):
+    got = {r.doc_id: (r.title, r.safe, r.bare) for r in QUERIES["names_whole"](spark, sf_dir).collect()}
+    strip = lambda t, fill: t and re.sub("[^a-zA-Z0-9]", fill, t)
+    assert got == {i: (t[:15] + "..." if len(t or "") > 18 else t, strip(t, "_"), strip(t, "")) for i, t in enumerate(TEXTS)}
+
+
+def test_names_agree_with_their_sql_on_sf0001(spark):
+    duckdb = pytest.importorskip("duckdb")
+    d = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    assert sorted(db.execute(ORACLES["names_whole"]).fetchall()) == sorted(map(tuple, QUERIES["names_whole"](spark, d).collect()))

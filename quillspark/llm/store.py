@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, about (a session setting of Spark's own).
+BATCH_BYTES = 8 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests) a folder of our own."""
+    """The cluster's ``spark.checkpoint.dir``. Only where it is unset a folder beside the warehouse,
+    and that only where all executors are threads of this process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), f"quillspark-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -28,6 +35,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Arrow batches are bounded by bytes from here on, not by rows alone: a
+    batch of very long texts would fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,6 +7,13 @@ contexts, equal ones taken once with their number, are indexed per anchor: suffi
 the Burrows-Wheeler transform is taken in runs, and match lengths are computed at the ends of runs
 only. Streaming over the text, the length of the longest match elsewhere falls by one from byte to
 byte except at those samples (the matching statistics); windows with ``LENGTH`` or more are marked.
+
+An anchor with more than ``PART`` different contexts is split without pairing parts: a window lies
+some bytes left of its anchor, equal windows equally many, so contexts are cut into the stretches
+of windows whose distance lies in one interval, and dealt out by the bytes that all windows of an
+interval have in common. Each window stands in one stretch, and equal windows in one group, so a
+context never meets a copy of itself. Groups still over ``PART`` are cut into smaller intervals, in
+the end into single windows, which are equal within a group.
 """
 
 from __future__ import annotations
@@ -15,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +30,11 @@ from .kernel import batch_bytes, mix, prefix_hash, signed, slices
 from .store import stage, table, text_key
 
 LENGTH, ANCHOR = 400, 300
-#: Contexts of one anchor up to which one task indexes them; more are dealt out by pairs of parts.
-PART = 2048
+#: Different contexts of one group up to which one index takes them; more are split by intervals of
+#: so many distances between a window and its anchor.
+PART, INTERVALS = 1024, (25, 6, 1)
+#: Shares in which the places of one anchor are counted before they meet.
+SHARES = 256
 #: Bytes of one index, about: contexts of several anchors share one.
 INDEX = 1 << 20
 
@@ -51,21 +62,23 @@ def window_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.where(flat_b[i] <= flat[j], at_b[i], at_f[j])
 
 
-def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one text of a window or more: hashes of the selected anchors, hashes of their contexts (the
-    windows that select one in a row), first start and number of further starts of these windows."""
+    windows that select one in a row) and of the anchor's place in them, first start and number of
+    further starts of these windows, and how far in the context its anchor starts."""
     n = len(raw)
     h, inv = prefix_hash(raw)
     grams = mix((h[ANCHOR:] - h[: n - ANCHOR + 1]) * inv[: n - ANCHOR + 1], 41)
     chosen = window_minimum(grams, LENGTH - ANCHOR + 1)
     first = np.concatenate(([0], np.flatnonzero(np.diff(chosen)) + 1))
     last = np.append(first[1:] - 1, len(chosen) - 1)
-    a, b = first, last + LENGTH
-    whole = mix((h[b] - h[a]) * inv[a] + (b - a).astype(np.uint64) * np.uint64(977) + (chosen[first] - a).astype(np.uint64), 42)
-    return grams[chosen[first]], whole, first, last - first
+    lead = chosen[first] - first
+    view, digest = memoryview(raw.tobytes()), xxhash.xxh3_64_intdigest
+    whole = np.fromiter((digest(view[a:b], k) for a, b, k in zip(first.tolist(), (last + LENGTH).tolist(), lead.tolist())), np.uint64, len(first))
+    return grams[chosen[first]], whole, first, last - first, lead
 
 
-ROWS = "doc_id long, _row long, anchor long, whole long, span int, first array<int>"
+ROWS = "doc_id long, _row long, anchor long, whole long, span int, lead int, first array<int>"
 
 
 def _anchor_rows(batches):
@@ -77,18 +90,18 @@ def _anchor_rows(batches):
         doc, rows, found = [], [], []
         for k, (a, b) in enumerate(zip(off[:-1], off[1:])):
             if b - a >= LENGTH:
-                anchor, whole, first, span = anchors(raw[a:b])
+                anchor, whole, first, span, lead = anchors(raw[a:b])
                 order = np.argsort(whole, kind="stable")
-                new = np.flatnonzero(np.concatenate(([True], np.diff(whole[order].astype(np.int64)) != 0)))
+                new = np.flatnonzero(np.concatenate(([True], (np.diff(whole[order].astype(np.int64)) != 0) | (anchor[order][1:] != anchor[order][:-1]))))
                 one = order[new]
-                found.append((anchor[one], whole[one], span[one], first[order], np.diff(np.append(new, len(order)))))
+                found.append((anchor[one], whole[one], span[one], lead[one], first[order], np.diff(np.append(new, len(order)))))
                 doc += [ids[k]] * len(one)
                 rows += [row[k]] * len(one)
         if doc:
-            anchor, whole, span, first, many = (np.concatenate(c) for c in zip(*found))
+            anchor, whole, span, lead, first, many = (np.concatenate(c) for c in zip(*found))
             places = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32)), pa.array(first.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rows, pa.int64()), pa.array(signed(anchor)), pa.array(signed(whole)), pa.array(span.astype(np.int32)), places],
-                                             ["doc_id", "_row", "anchor", "whole", "span", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(rows, pa.int64()), pa.array(signed(anchor)), pa.array(signed(whole)), pa.array(span.astype(np.int32)), pa.array(lead.astype(np.int32)), places],
+                                             ["doc_id", "_row", "anchor", "whole", "span", "lead", "first"])
 
 
 # --- the index --------------------------------------------------------------------------------
@@ -181,43 +194,107 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
     return [found[off[k] : off[k] + size[k] - LENGTH + 1] for k in range(len(contexts))]
 
 
+CONTEXTS = "grp long, sub long, lead int, context binary"
+
+
 def _index(batches):
-    """Rows sorted by (anchor, i, j): indexes whole groups of contexts, several to an index, and
-    returns (whole, x, y): the context's window starts x to y, y left out, are repeated."""
+    """Rows sorted by grp: indexes whole groups of contexts, several to an index, and returns (grp,
+    sub, x, y): the context's window starts x to y, both included, are repeated. No window stands
+    in two contexts, so an index may hold any groups together."""
 
     def flush(rows, parts):
-        out: list[tuple[int, int, int]] = []
-        for w, found in zip(rows, repeated_windows(parts)):
+        out: list[tuple[int, int, int, int]] = []
+        for (g, w), found in zip(rows, repeated_windows(parts)):
             edge = np.flatnonzero(np.diff(np.concatenate(([False], found, [False])).astype(np.int8))).reshape(-1, 2)
-            out += [(w, x, y) for x, y in edge.tolist()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["whole", "x", "y"])
+            out += [(g, w, x, y - 1) for x, y in edge.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["grp", "sub", "x", "y"])
 
     rows, parts, size, last = [], [], 0, None
     for batch in batches:
-        for k in zip(*(batch.column(c).to_pylist() for c in ("anchor", "i", "j", "whole", "context"))):
-            if k[:3] != last and size >= INDEX:
+        for g, w, context in zip(*(batch.column(c).to_pylist() for c in ("grp", "sub", "context"))):
+            if g != last and size >= INDEX:
                 yield flush(rows, parts)
                 rows, parts, size = [], [], 0
-            last = k[:3]
-            rows.append(k[3])
-            parts.append(k[4])
-            size += len(k[4])
+            last = g
+            rows.append((g, w))
+            parts.append(context)
+            size += len(context)
     if parts:
         yield flush(rows, parts)
 
 
+def stretches(context: bytes, lead: int, width: int):
+    """The context cut by intervals of ``width`` distances between a window's start and the anchor's:
+    for each interval the group (a hash of the bytes that all its windows share), the first window
+    and the last one, and the stretch that these cover."""
+    span = len(context) - LENGTH
+    for k in range(max(lead - span, 0) // width, lead // width + 1):
+        low, high = k * width, min(k * width + width - 1, LENGTH - ANCHOR)
+        x, y = max(lead - high, 0), min(lead - low, span)
+        if x <= y:
+            yield xxhash.xxh3_64_intdigest(context[max(lead - low, 0) : lead + LENGTH - high], seed=k * 128 + width), x, y, context[x : y + LENGTH]
+
+
+def _stretches(width):
+    def run(batches):
+        for batch in batches:
+            out = [(g, w, h, xxhash.xxh3_64_intdigest(cut, seed=lead - x), x, y - x, lead - x, cut)
+                   for g, w, lead, context in zip(*(batch.column(c).to_pylist() for c in ("grp", "sub", "lead", "context")))
+                   for h, x, y, cut in stretches(context, lead, width)]
+            if out:
+                c = list(zip(*out))
+                unsigned = [pa.array(signed(np.array(z, np.uint64))) for z in c[2:4]]
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), *unsigned, *(pa.array(z, pa.int32()) for z in c[4:7]), pa.array(c[7], pa.binary())],
+                                                 ["up", "up_sub", "grp", "sub", "shift", "span", "lead", "context"])
+    return run
+
+
+STRETCHES = "up long, up_sub long, grp long, sub long, shift int, span int, lead int, context binary"
+
+
 def _contexts(batches):
     """Cuts the contexts that were chosen of each text."""
     for batch in batches:
-        whole, anchor, count, cut = [], [], [], []
+        grp, sub, lead, cut = [], [], [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             raw = text.encode()
             for w in wanted:
-                whole.append(w["whole"])
-                anchor.append(w["anchor"])
-                count.append(w["kinds"])
+                grp.append(w["anchor"])
+                sub.append(w["whole"])
+                lead.append(w["lead"])
                 cut.append(raw[w["first"] : w["first"] + w["span"] + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64()), pa.array(anchor, pa.int64()), pa.array(count, pa.int64()), pa.array(cut, pa.binary())], ["whole", "anchor", "kinds", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(sub, pa.int64()), pa.array(lead, pa.int32()), pa.array(cut, pa.binary())], ["grp", "sub", "lead", "context"])
+
+
+def repeated(contexts: DataFrame) -> DataFrame:
+    """``(grp, sub, x, y)``: of contexts ``(grp, sub, lead, context)``, all different within a group, the
+    window starts x to y that are repeated in their group; a window may be told twice."""
+    sizes = contexts.groupBy("grp").agg(F.count("*").alias("kinds"))
+    fit = contexts.join(sizes.where(F.col("kinds").between(2, PART)), "grp", "left_semi")
+    found = [fit.repartition("grp").sortWithinPartitions("grp").mapInArrow(_index, "grp long, sub long, x long, y long")]
+    chain, left = [], contexts.join(sizes.where(F.col("kinds") > PART), "grp", "left_semi")
+    for width in INTERVALS:
+        left = stage(left, "wide")
+        if left.isEmpty():
+            break
+        cut = stage(left.select("grp", "sub", "lead", "context").mapInArrow(_stretches(width), STRETCHES), "stretches")
+        # Equal stretches once, with their number: those of two contexts are repeated as they are.
+        one = cut.groupBy("grp", "sub").agg(F.count("*").alias("n"), F.max("span").alias("span"), F.max("lead").alias("lead"), F.first("context").alias("context"))
+        one = stage(one, "kinds_of_stretches")
+        sizes = one.groupBy("grp").agg(F.count("*").alias("kinds"))
+        told = one.where("n > 1").select("grp", "sub", F.lit(0).cast("long").alias("x"), F.col("span").cast("long").alias("y"))
+        if width > 1:
+            fit = one.join(sizes.where(F.col("kinds").between(2, PART)), "grp", "left_semi")
+            told = told.unionByName(fit.select("grp", "sub", "context").repartition("grp").sortWithinPartitions("grp").mapInArrow(_index, "grp long, sub long, x long, y long"))
+            left = one.join(sizes.where(F.col("kinds") > PART), "grp", "left_semi")
+        chain.append(cut.select("up", "up_sub", "grp", "sub", "shift"))
+        found.append(told)
+    # Back from stretches to the contexts they were cut of, level by level.
+    out = found.pop()
+    for up in reversed(chain):
+        out = out.join(up, ["grp", "sub"]).select(F.col("up").alias("grp"), F.col("up_sub").alias("sub"), (F.col("x") + F.col("shift")).alias("x"), (F.col("y") + F.col("shift")).alias("y"))
+        out = out.unionByName(found.pop())
+    return out
 
 
 def _strip(schema_names):
@@ -253,25 +330,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("_row"))
     rows = source.mapInArrow(_anchor_rows, ROWS)
-    # Anchors in two places: one sorted pass that can spill over narrow rows, never a collected group.
-    shared = stage(rows.selectExpr("*", "sum(size(first)) OVER (PARTITION BY anchor) AS c").where("c > 1").drop("c"), "shared")
-    # Equal contexts once, with their number; counts are combined before the shuffle.
-    kinds = stage(shared.groupBy("anchor", "whole").agg(F.sum(F.size("first")).alias("n"), F.min(F.struct("doc_id", "_row", F.element_at("first", 1).alias("first"), "span")).alias("at")), "kinds")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(mixed, "anchor").groupBy("at.doc_id", "at._row").agg(F.collect_list(F.struct("whole", "anchor", "kinds", "at.first", "at.span")).alias("wanted"))
+    # Anchors in two places. Places are counted by share of the documents first, so that no task
+    # gets all rows of a frequent anchor; the first row of a share, with its count, meets the others.
+    share = rows.withColumn("share", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(SHARES)))
+    within = "OVER (PARTITION BY anchor, share)"
+    counted = share.selectExpr("*", f"sum(size(first)) {within} AS c", "row_number() OVER (PARTITION BY anchor, share ORDER BY whole) AS k").drop("share")
+    firsts = counted.where("k = 1").selectExpr("*", "sum(c) OVER (PARTITION BY anchor) AS total").where("total > 1")
+    narrow = ["doc_id", "_row", "anchor", "whole", "span", "lead", "first"]
+    shared = stage(counted.where("k > 1").select(*narrow).unionByName(firsts.select(*narrow)), "shared")
+    # Equal contexts once, with their number; counts are combined before the shuffle. They are equal
+    # in two independent 64-bit hashes, the anchor's and the context's own.
+    kinds = stage(shared.groupBy("anchor", "whole").agg(F.sum(F.size("first")).alias("n"), F.min(F.struct("doc_id", "_row", F.element_at("first", 1).alias("first"), "span", "lead")).alias("at")), "kinds")
+    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    wanted = kinds.join(mixed, "anchor").groupBy("at.doc_id", "at._row").agg(F.collect_list(F.struct("whole", "anchor", "at.first", "at.span", "at.lead")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "wanted")
     cut = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select("text", "wanted")
-    contexts = stage(cut.mapInArrow(_contexts, "whole long, anchor long, kinds long, context binary"), "contexts")
-    parts = F.ceil(F.col("kinds") / PART).cast("int")
-    dealt = contexts.withColumn("part", F.pmod(F.xxhash64("whole"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("anchor", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "whole", "context")
-    hits = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_index, "whole long, x long, y long")
+    contexts = stage(cut.mapInArrow(_contexts, CONTEXTS), "contexts")
+    hits = repeated(contexts)
     # Runs of repeated window starts: all of a context that stands twice, else what the index found.
-    twice = kinds.where("n > 1").select("whole", F.lit(0).cast("long").alias("x"), F.lit(None).cast("long").alias("y"))
-    once = hits.join(kinds.where("n = 1").select("whole"), "whole", "left_semi")
-    told = stage(twice.unionByName(once), "told")
-    marked = shared.join(told, "whole").select("doc_id", "_row", "x", F.coalesce(F.col("y") - 1, F.col("span")).alias("z"), F.explode("first").alias("p"))
-    marked = marked.select("doc_id", "_row", F.struct((F.col("p") + F.col("x")).alias("first"), (F.col("p") + F.col("z")).alias("last")).alias("r"))
+    twice = kinds.where("n > 1").select("anchor", "whole", F.lit(0).cast("long").alias("x"), F.col("at.span").cast("long").alias("y"))
+    told = stage(twice.unionByName(hits.select(F.col("grp").alias("anchor"), F.col("sub").alias("whole"), "x", "y")), "told")
+    marked = shared.join(told, ["anchor", "whole"]).select("doc_id", "_row", "x", "y", F.explode("first").alias("p"))
+    marked = marked.select("doc_id", "_row", F.struct((F.col("p") + F.col("x")).alias("first"), (F.col("p") + F.col("y")).alias("last")).alias("r"))
     runs = marked.groupBy("doc_id", "_row").agg(F.collect_set("r").alias("_runs")).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "_runs")
     joined = source.join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
     out = joined.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text", "_runs")

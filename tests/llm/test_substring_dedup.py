@@ -3,7 +3,10 @@ import random
 
 import numpy as np
 
-from quillspark.llm.substring_dedup import LENGTH, brute_force, match_lengths, remove_repeats, repeated_windows, suffix_array, window_minimum
+import pytest
+
+from quillspark.llm import substring_dedup
+from quillspark.llm.substring_dedup import LENGTH, brute_force, match_lengths, remove_repeats, repeated_windows, stretches, suffix_array, window_minimum
 
 SCHEMA = "doc_id long, text string, anchor int, _row string"
 
@@ -35,6 +38,31 @@ def test_equals_brute_force(spark):
         assert answers(spark, texts) == [(i, *x) for i, x in enumerate(brute_force(texts))]
 
 
+@pytest.mark.parametrize("part, intervals", [(1, (25, 6, 1)), (2, (25, 6, 1)), (3, (40, 1))])
+def test_split_groups_equal_brute_force(spark, monkeypatch, part, intervals):
+    monkeypatch.setattr(substring_dedup, "PART", part)
+    monkeypatch.setattr(substring_dedup, "INTERVALS", intervals)
+    texts = corpus(7, 40)
+    assert answers(spark, texts) == [(i, *x) for i, x in enumerate(brute_force(texts))]
+
+
+def test_a_frequent_string_under_the_length_stays(spark):
+    rnd = random.Random(11)
+    noise = lambda k: "".join(rnd.choice("abcdefgh ") for _ in range(k))
+    shared, long = noise(380), noise(430)
+    texts = [noise(150) + shared + noise(150) for _ in range(2300)] + [noise(40) + long + noise(40) for _ in range(3)]
+    got = answers(spark, texts)
+    assert [x[2] for x in got[:2300]] == [0] * 2300
+    assert [x[2] for x in got[2300:]] == [430] * 3
+
+
+def test_stretches_hold_each_window_once():
+    context, lead = bytes(range(97, 97 + 20)) * 23, 70
+    for width in (101, 25, 6, 1):
+        found = [k for _, x, y, cut in stretches(context, lead, width) for k in range(x, y + 1) if len(cut) == y - x + LENGTH]
+        assert sorted(found) == list(range(len(context) - LENGTH + 1))
+
+
 def test_index_finds_all_repeated_windows():
     rnd = random.Random(3)
     noise = lambda k: bytes(rnd.choice(b"abcd") for _ in range(k))

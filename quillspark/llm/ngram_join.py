@@ -2,14 +2,15 @@
 
 A document's word shingles are hashed into groups; the groups' sizes are its point. Two documents
 that link have equal shingle subsets in most groups, so a bounded number of group subsets of each
-document (see :func:`_signatures`) is sure to contain a common one: these are the blocks. Within a
-block, points are packed into an R-tree, pairs of boxes and then of points are kept only where the
-summed coordinate minima can reach the overlap that Jaccard 0.8 needs, and the surviving pairs are
-verified on whole texts.
-
-Blocks are handled in two passes so that no group of copies is expanded into pairs: the first tries
-every member against the block's smallest one; the second runs the R-tree join only over blocks that
-still hold several components, and only across components. Equal shingle sets are one member.
+document (see :func:`_signatures`) is sure to contain a common one: these are the blocks, which only
+say which points share a tree. Each block is packed into an R-tree (:class:`Tree`): boxes over points, split
+where they are widest, inner boxes over these. The tree is joined with itself from the root down; pairs
+of boxes, then of points, are kept only where the summed coordinate minima can reach the overlap
+that Jaccard 0.8 needs. The surviving pairs, and no others, are verified on whole texts.
+
+No group of copies is expanded into pairs: equal shingle sets are one point, equal blocks one block,
+and in blocks of several leaves the first rounds take spanning pairs only (each point with the best
+one of its leaf, and one pair across each inner box). The last round joins across components only.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import mix, shingle_sets, signed, slices
-from .store import stage, table, text_key
+from .store import stage, table, text_key, unused
 
 U = np.uint64
-#: Members of a block up to which one task joins it; larger ones are dealt out by pairs of parts.
+#: Members of a block up to which one tree holds it; larger ones are dealt out in parts.
 BLOCK = 2048
-#: Rounds of best partners before all pairs that are left.
-ROUNDS = 2
-PART_OF_BLOCKS = 8
-LEAF = 32
+#: Rounds of spanning pairs before all pairs that are left, each over its own share of the blocks.
+ROUNDS, SHARE_OF_BLOCKS = 2, 4
+#: Points of a leaf; coordinates of a point at most (groups beyond are folded together).
+LEAF, COORDINATES = 32, 1024
+#: Partners of one text that one task verifies.
+PARTNERS = 256
+#: Set hashes that a worker remembers, to describe equal sets once.
+REMEMBERED = 100_000
 
 
 def links(p: np.ndarray | int, q: np.ndarray | int, overlap: np.ndarray | int) -> np.ndarray | bool:
@@ -47,7 +52,7 @@ def _classes(n: int) -> list[tuple[int, int]]:
 
 
 def _signatures(s: np.ndarray, cls: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block keys and group counts of a shingle set in one size class.
+    """Block keys and the point (group counts) of a shingle set in one size class.
 
     Sets p, q that link differ in at most (p + q) / 9 shingles, so they agree on all but d of the
     groups, where d = (n + 5n/4) / 9 bounds this for any partner. Each document orders its group
@@ -64,21 +69,30 @@ def _signatures(s: np.ndarray, cls: int, groups: int) -> tuple[np.ndarray, np.nd
     subset = total[edge[1:]] - total[edge[:-1]]
     key = mix(subset ^ mix(np.arange(groups, dtype=np.uint64), 13 + cls), 14)
     first = np.lexsort((key, -count))[: d + 1]
+    if groups > COORDINATES:
+        count = np.bincount(np.arange(groups) % COORDINATES, count, COORDINATES).astype(np.int64)
     return key[first], count
 
 
 def _describe(batches):
-    """(doc_id, _row, n, s1, s2, cls, keys, counts): one row for each class of a document, and one
-    with cls -1 for a document without words."""
+    """A row for each class of a document: (doc_id, _row, n, s1, s2, cls, keys, counts); one with cls -1
+    where there are no words or no doc_id, or where this worker has just described an equal set."""
+    seen: set[tuple[int, int, int]] = set()
     for part in slices(batches, "text"):
         sets = shingle_sets(part.column("text"))
         ids, row = part.column("doc_id").to_pylist(), part.column("_row").to_pylist()
         out: list[tuple] = []
         for i, r, s in zip(ids, row, sets):
             if not len(s):
-                out.append((i, r, 0, 0, 0, -1, [], b""))
+                out.append((i, r, 0, 0, 0, -1, None, None))
                 continue
             s1, s2 = (int(signed(x)[0]) for x in (mix(s, 21).sum(keepdims=True), np.bitwise_xor.reduce(mix(s, 22), keepdims=True)))
+            if i is None or (len(s), s1, s2) in seen:
+                out.append((i, r, len(s), s1, s2, -1, None, None))
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add((len(s), s1, s2))
             for cls, groups in _classes(len(s)):
                 keys, count = _signatures(s, cls, groups)
                 out.append((i, r, len(s), s1, s2, cls, signed(keys), np.minimum(count, 255).astype(np.uint8).tobytes()))
@@ -97,118 +111,251 @@ def overlap_bound(a: np.ndarray, b: np.ndarray, na, nb) -> np.ndarray:
     return np.minimum(a, b).sum(-1, dtype=np.int64) + beyond
 
 
-def rtree_join(points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None, best: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j) of points of different components whose bound reaches the needed overlap, and
-    the Jaccard similarity that the bound allows; ``best``: of each point's pairs only the one that
-    allows most (for points without any, none).
+def sizes_fit(p, q):
+    return 5 * np.minimum(p, q) >= 4 * np.maximum(p, q)
+
 
-    The tree is packed by component (the small ones together) and then by size; a leaf's box holds
-    the largest count in each coordinate, the least and largest set size and component: two leaves
-    of one component need no look. ``side``: if given, only pairs of a 0 with a 1.
+class Tree:
+    """An R-tree over count vectors, packed by halving along the widest coordinate.
+
+    Node 0 is the root; ``first``/``last``: a node's stretch of ``order``; ``left``/``right``: its children (-1:
+    a leaf). Of a box, the corner of largest counts (``high``), the least and largest set size, what
+    sizes hold beyond the counts, the least and largest component and side.
     """
-    _, of, many = np.unique(comp, return_inverse=True, return_counts=True)
-    order = np.lexsort((n, np.where(many[of] >= LEAF, of + 1, 0)))
-    m, leaves = len(order), [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-    high = np.array([points[x].max(0) for x in leaves])
-    low_n, high_n = np.array([n[x].min() for x in leaves]), np.array([n[x].max() for x in leaves])
-    spare = np.array([(n[x] - points[x].sum(1, dtype=np.int64)).max() for x in leaves])
-    comp_low, comp_high = np.array([of[x].min() for x in leaves]), np.array([of[x].max() for x in leaves])
-    left, right, ratio = [], [], []
-    most, mate = np.zeros(m), np.full(m, -1)
-    for i, x in enumerate(leaves):
-        top = np.minimum(high[i:], high[i]).sum(1, dtype=np.int64) + np.minimum(spare[i:], spare[i])
-        near = (9 * top >= 4 * (low_n[i] + low_n[i:])) & (5 * np.minimum(high_n[i], high_n[i:]) >= 4 * np.maximum(low_n[i], low_n[i:]))
-        near &= (comp_low[i] != comp_high[i:]) | (comp_high[i] != comp_low[i:])
-        for j in np.flatnonzero(near) + i:
-            y = leaves[j]
-            bound = overlap_bound(points[x][:, None, :], points[y][None, :, :], n[x][:, None], n[y][None, :])
-            ok = links(n[x][:, None], n[y][None, :], bound) & (comp[x][:, None] != comp[y][None, :])
-            if side is not None:
-                ok &= side[x][:, None] != side[y][None, :]
-            if i == j:
-                ok = np.triu(ok, 1)
-            if not ok.any():
-                continue
-            alike = np.where(ok, bound / (n[x][:, None] + n[y][None, :] - bound), 0.0)
-            if best:
-                for one, other, z in ((x, y, alike), (y, x, alike.T)):
-                    k = z.argmax(1)
-                    top = z[np.arange(len(one)), k]
-                    better = top > most[one]
-                    most[one[better]], mate[one[better]] = top[better], other[k[better]]
-            else:
-                a, b = np.nonzero(ok)
-                left.append(x[a])
-                right.append(y[b])
-                ratio.append(alike[a, b])
-    if best:
-        some = np.flatnonzero(mate >= 0)
-        return some, mate[some], most[some]
-    return tuple(np.concatenate(z) if z else np.zeros(0, t) for z, t in ((left, np.int64), (right, np.int64), (ratio, float)))
-
-
-def _block_pairs(best: bool):
-    """Runs the R-tree join over each block of a partition sorted by (key, i, j)."""
-
-    def flush(rows):
-        t = pa.Table.from_batches(rows).combine_chunks()
-        n, comp, doc = (t.column(c).to_numpy() for c in ("n", "comp", "doc_id"))
-        counts = t.column("counts").combine_chunks()
-        points = np.frombuffer(b"".join(counts.to_pylist()), np.uint8).reshape(len(n), len(counts[0].as_py()))
-        i, j, part = (t.column(c).to_numpy() for c in ("i", "j", "part"))
-        a, b, alike = rtree_join(points, n, comp, None if i[0] == j[0] else part == i[0], best)
-        return pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b]), pa.array(alike)], ["a", "b", "alike"])
-
-    return lambda batches: _by_block(batches, flush)
-
-
-def _by_block(batches, flush):
-    held, last = [], None
+
+    def __init__(self, points: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray):
+        self.points, self.n, self.comp, self.side = points, n, comp, side
+        self.order = np.arange(len(n))
+        first, last, left, right = [0], [len(n)], [-1], [-1]
+        k = 0
+        while k < len(first):
+            a, b = first[k], last[k]
+            if b - a > LEAF:
+                part = self.order[a:b]
+                at = points[part]
+                spread = at.max(0).astype(np.int64) - at.min(0)
+                by, half = at[:, spread.argmax()].astype(np.int64), (b - a) // 2
+                if spread.max() * len(spread) < n[part].max() - n[part].min():
+                    by = n[part]
+                self.order[a:b] = part[np.argpartition(by, half)]
+                left[k], right[k] = len(first), len(first) + 1
+                first += [a, a + half]
+                last += [a + half, b]
+                left += [-1, -1]
+                right += [-1, -1]
+            k += 1
+        self.first, self.last, self.left, self.right = map(np.array, (first, last, left, right))
+        spare = n - points.sum(1, dtype=np.int64)
+        pick = [self.order[a:b] for a, b in zip(first, last)]
+        self.high = np.array([points[x].max(0) for x in pick])
+        self.spare = np.array([spare[x].max() for x in pick])
+        self.n_low, self.n_high = np.array([(n[x].min(), n[x].max()) for x in pick]).T
+        self.c_low, self.c_high = np.array([(comp[x].min(), comp[x].max()) for x in pick]).T
+        self.s_low, self.s_high = np.array([(side[x].min(), side[x].max()) for x in pick]).T
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether boxes a and b (arrays of nodes) can hold a pair that links, of two components and,
+        if there are two sides, one of each."""
+        ok = 5 * np.minimum(self.n_high[a], self.n_high[b]) >= 4 * np.maximum(self.n_low[a], self.n_low[b])
+        ok &= (self.c_low[a] != self.c_high[b]) | (self.c_high[a] != self.c_low[b])
+        if self.s_low[0] != self.s_high[0]:
+            ok &= (self.s_low[a] != self.s_high[b]) | (self.s_high[a] != self.s_low[b])
+        some = np.flatnonzero(ok)
+        for k in range(0, len(some), 4096):
+            x, y = a[some[k : k + 4096]], b[some[k : k + 4096]]
+            top = np.minimum(self.high[x], self.high[y]).sum(1, dtype=np.int64) + np.minimum(self.spare[x], self.spare[y])
+            ok[some[k : k + 4096]] = links(self.n_low[x], self.n_low[y], top)
+        return ok
+
+    def leaf_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of leaves (a leaf with itself, too) that the descent of all pairs of boxes reaches."""
+        a, b, done = np.zeros(1, np.int64), np.zeros(1, np.int64), []
+        while len(a):
+            ok = self.may_link(a, b)
+            a, b = a[ok], b[ok]
+            leaf_a, leaf_b = self.left[a] < 0, self.left[b] < 0
+            done.append((a[leaf_a & leaf_b], b[leaf_a & leaf_b]))
+            inner = ~(leaf_a & leaf_b)
+            a, b = a[inner], b[inner]
+            kids = lambda x, k: np.where(self.left[x] < 0, x, (self.left, self.right)[k][x])
+            pairs = np.unique(np.concatenate([np.sort(np.stack((kids(a, i), kids(b, j)), 1), 1) for i in (0, 1) for j in (0, 1)]), axis=0)
+            a, b = pairs[:, 0], pairs[:, 1]
+        return tuple(np.concatenate(x) for x in zip(*done)) if done else (a, b)
+
+    def leaf(self, k: int) -> np.ndarray:
+        return self.order[self.first[k] : self.last[k]]
+
+    def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For points x against y the Jaccard similarity that their bound allows, 0 where they can't
+        link or needn't (one component, or one side of two)."""
+        p, q = self.n[x][:, None], self.n[y][None, :]
+        bound = np.empty((len(x), len(y)), np.int64)
+        for k in range(0, len(x), 8):
+            bound[k : k + 8] = overlap_bound(self.points[x[k : k + 8]][:, None, :], self.points[y][None, :, :], p[k : k + 8], q)
+        ok = links(p, q, bound) & sizes_fit(p, q) & (self.comp[x][:, None] != self.comp[y][None, :])
+        if self.s_low[0] != self.s_high[0]:
+            ok &= self.side[x][:, None] != self.side[y][None, :]
+        return np.where(ok, bound / (p + q - bound), 0.0)
+
+    def join(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of points whose bound lets them link."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for u, v in zip(*(z.tolist() for z in self.leaf_pairs())):
+            x, y = self.leaf(u), self.leaf(v)
+            ok = self.alike(x, y) > 0
+            i, j = np.nonzero(np.triu(ok, 1) if u == v else ok)
+            left.append(x[i])
+            right.append(y[j])
+        return np.concatenate(left), np.concatenate(right)
+
+    def span(self) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning pairs, about as many as points: of each point with the one of its leaf that its bound
+        favours, and across each inner node one such pair of its children's first leaves."""
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(self.first)):
+            x = self.leaf(k) if self.left[k] < 0 else self.order[self.first[self.left[k]] :][:LEAF // 2]
+            y = x if self.left[k] < 0 else self.order[self.first[self.right[k]] :][:LEAF // 2]
+            alike = self.alike(x, y)
+            if self.left[k] < 0:
+                np.fill_diagonal(alike, 0)
+                best = alike.argmax(1)
+                some = np.flatnonzero(alike[np.arange(len(x)), best] > 0)
+                left.append(x[some])
+                right.append(y[best[some]])
+            elif alike.max() > 0:
+                i, j = np.unravel_index(alike.argmax(), alike.shape)
+                left.append(x[i : i + 1])
+                right.append(y[j : j + 1])
+        return np.concatenate(left), np.concatenate(right)
+
+
+def single_leaves(block: np.ndarray, points: np.ndarray, n: np.ndarray, comp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The joins of many blocks of one leaf each (``block``: their numbers, in order) at once; a pair of
+    nodes that stands in several is looked at once."""
+    left, right = [], []
+    for d in range(1, LEAF):
+        i = np.flatnonzero(block[:-d] == block[d:]) if d < len(block) else np.zeros(0, np.int64)
+        i = i[(comp[i] != comp[i + d]) & sizes_fit(n[i], n[i + d])]
+        left.append(i)
+        right.append(i + d)
+    i, j = np.concatenate(left), np.concatenate(right)
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    order = np.lexsort((b, a))
+    new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])) if len(order) else np.zeros(0, bool)
+    i, j = i[order][new], j[order][new]
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 4096):
+        x, y = i[k : k + 4096], j[k : k + 4096]
+        keep[k : k + 4096] = links(n[x], n[y], overlap_bound(points[x], points[y], n[x], n[y]))
+    return i[keep], j[keep]
+
+
+#: Rows of blocks that are joined together, about.
+ROWS_AT_ONCE = 1 << 13
+
+
+def _block_pairs(spanning: bool):
+    """The tree joins of all blocks of a partition sorted by (cls, key, i, j)."""
+
+    def joined(t: pa.Table):
+        node, n, comp, part = (t.column(c).to_numpy() for c in ("node", "n", "comp", "part"))
+        i, j, key = (t.column(c).to_numpy() for c in ("i", "j", "key"))
+        counts = t.column("counts").to_pylist()
+        points = np.frombuffer(b"".join(counts), np.uint8).reshape(len(counts), -1)
+        edge = np.append(np.append(0, np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1), len(key))
+        size = np.diff(edge)
+        small = np.repeat(size <= LEAF, size) & (i == j)
+        at = np.flatnonzero(small)
+        a, b = single_leaves(np.repeat(np.arange(len(size)), size)[at], points[at], n[at], comp[at], node[at])
+        left, right = [node[at[a]]], [node[at[b]]]
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if not small[x]:
+                tree = Tree(points[x:y], n[x:y], comp[x:y], part[x:y] if i[x] != j[x] else np.zeros(y - x, np.int64))
+                a, b = tree.span() if spanning else tree.join()
+                left.append(node[x:y][a])
+                right.append(node[x:y][b])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches):
+        for rows in _whole_blocks(batches):
+            yield joined(rows)
+
+    return run
+
+
+def _whole_blocks(batches):
+    """Tables of one class that hold whole blocks, about ROWS_AT_ONCE rows or one block each."""
+    held, size, last = [], 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-        cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), batch.num_rows]
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            now = (key[s], i[s], j[s])
-            if last is not None and now != last:
-                yield flush(held)
-                held = []
-            held.append(batch.slice(s, e - s))
+        cls, key, i, j = (batch.column(c).to_numpy() for c in ("cls", "key", "i", "j"))
+        cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(cls) != 0)) + 1).tolist(), batch.num_rows]
+        start = 0
+        for x in cuts[:-1]:
+            now = (cls[x], key[x], i[x], j[x])
+            if last is not None and now != last and (now[0] != last[0] or size + x - start >= ROWS_AT_ONCE):
+                if x > start:
+                    held.append(batch.slice(start, x - start))
+                yield pa.Table.from_batches(held)
+                held, size, start = [], 0, x
             last = now
+        held.append(batch.slice(start))
+        size += batch.num_rows - start
     if held:
-        yield flush(held)
-
-
-def _within_bound(batches):
-    """Keeps the pairs whose count vectors let them link."""
-    for batch in batches:
-        na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        keep = np.zeros(batch.num_rows, bool)
-        for k, (x, y) in enumerate(zip(batch.column("ca").to_pylist(), batch.column("cb").to_pylist())):
-            keep[k] = links(na[k], nb[k], overlap_bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), na[k], nb[k]))
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        yield pa.Table.from_batches(held)
 
 
 def _verified(batches):
-    """Keeps the pairs whose whole texts link."""
-    for batch in batches:
-        for part in slices([batch], "tb", 4 << 20):
-            first, last, sets = part.column("a").to_pylist(), None, []
-            same = None
-            for k, x in enumerate(first):  # rows of one a come together: its set is made once
-                if x != last:
-                    same, last = shingle_sets(part.column("ta").slice(k, 1))[0], x
-                sets.append(same)
-            keep = [links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in zip(sets, shingle_sets(part.column("tb")))]
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """Rows sorted by (a, share, b), the first of each (a, share) with a's own text and no b, the others
+    with b's: the pairs whose whole texts link. A set is made once a row."""
+    last, own = None, None
+    for part in slices(batches, "text"):
+        a, b = [], []
+        for x, share, y, s in zip(*(part.column(c).to_pylist() for c in ("a", "share", "b")), shingle_sets(part.column("text"))):
+            if y is None:
+                last, own = (x, share), s
+                continue
+            if last != (x, share):
+                raise AssertionError("a pair came before its first text")
+            if sizes_fit(len(own), len(s)) and links(len(own), len(s), len(np.intersect1d(own, s, assume_unique=True))):
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives that link, on their whole texts."""
-    a = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(b, "b").join(a, "a").mapInArrow(_verified, "a long, b long")
+    """The pairs (a, b) of nodes that link, on their whole texts. A node with very many partners is
+    shared out, so no task gets them all, and its text goes to each share once, not to each pair."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))
+    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b")
+    heads = many.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"))
+    rows = heads.withColumn("node", F.col("a")).unionByName(dealt.withColumn("node", F.col("b"))).join(texts, "node").select("a", "share", "b", "text")
+    return rows.repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).mapInArrow(_verified, "a long, b long")
+
+
+def _dealt(known: DataFrame, points: DataFrame, spanning: bool) -> DataFrame:
+    """Rows of blocks, keyed by (cls, key, i, j): a block of up to ``BLOCK`` members is one tree. Of
+    larger ones, spanning rounds take each part by itself (parts differ from block to block). The last round lets
+    every part meet those of the members outside the block's largest component: what is inside that
+    needs no pairs, so a group of copies costs its size times the number of strangers, by parts."""
+    of_comp = known.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    most = of_comp.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("comps")).where("comps > 1").select("key", "most", "all")
+    rows = known.join(most, "key")
+    parts = lambda x: F.ceil(x / BLOCK).cast("int")
+    dice = F.xxhash64("node", "key")
+    if spanning:
+        rows = rows.withColumn("part", F.pmod(dice, parts(F.col("all"))).cast("int")).withColumns({"i": F.col("part"), "j": F.col("part")})
+    else:
+        major, whole = F.col("comp") == F.col("most.comp"), F.col("all") <= BLOCK
+        pm, po = parts(F.col("most.m")), parts(F.col("all") - F.col("most.m"))
+        rows = rows.withColumns({"pm": pm, "po": po, "major": major, "whole": whole})
+        rows = rows.withColumn("part", F.when(F.col("whole"), F.lit(0)).when(F.col("major"), F.pmod(dice, F.col("pm"))).otherwise(F.col("pm") + F.pmod(dice, F.col("po"))).cast("int"))
+        others = F.when(F.col("whole"), F.array(F.lit(0))).when(F.col("major"), F.sequence(F.col("pm"), F.col("pm") + F.col("po") - 1)).otherwise(F.sequence(F.lit(0), F.col("pm") + F.col("po") - 1))
+        rows = rows.withColumn("other", F.explode(others)).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    rows = rows.join(points, ["node", "cls"]).select("cls", "key", "i", "j", "part", "node", "n", "comp", "counts")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("cls", "key", "i", "j")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -218,77 +365,68 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     lower-cased; with fewer words the whole sequence as one; without words, or null: empty and
     linked with nothing (its own component). Two link at Jaccard 0.8 or more; the component is the
     smallest doc_id reachable. Equal sets always share a component. Rows equal in doc_id and text
-    count as one; a null doc_id gets its own empty answer (component null). ``_row`` tells apart
-    different texts under one doc_id (such texts' components still go by doc_id). Empty table: no
-    rows. Other columns are not read.
+    count as one; a null doc_id is linked with nothing (component null). ``_row`` tells apart
+    different texts under one doc_id (each has its own component). Empty table: no rows. Other
+    columns are not read. Sets are told apart by 128 bits and their size, as nodes by 64 bits.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("_row"))
-    described = stage(source.mapInArrow(_describe, DESCRIBED), "described")
-    # Equal sets: one representative, (doc_id, _row) least. Minima are combined before the shuffle.
-    sets = described.where("cls >= 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "_row")).alias("least"))
-    member = described.select("doc_id", "_row", "n", "s1", "s2").distinct().join(sets, ["n", "s1", "s2"], "left").select(
-        "doc_id", "_row", "n", F.col("least.doc_id").alias("rep"), F.col("least._row").alias("rep_row"))
-    member = stage(member, "members")
-    reps = member.where("doc_id = rep AND _row = rep_row").select("doc_id", "_row")
-    # One doc_id may carry several texts: nodes are numbered by doc_id, so such texts are joined below.
-    points = described.where("cls >= 0").join(reps.distinct(), ["doc_id", "_row"], "left_semi")
-    node = F.xxhash64("doc_id", "_row")
-    points = stage(points.select(node.alias("node"), "n", "cls", "keys", "counts"), "points")
-
-    # Blocks with two members or more. The count and the least member come from one sorted pass
-    # that can spill; a hot block is a long run of small rows there, never a collected group.
-    rows = points.select(F.explode("keys").alias("key"), F.col("node").alias("doc_id"), "cls")
-    shared = stage(rows.selectExpr("key", "doc_id", "cls", "count(*) OVER (PARTITION BY key) AS c", "min(doc_id) OVER (PARTITION BY key) AS centre").where("c > 1"), "blocks")
-
-    # Whole texts, of the block members only: the one time that texts are shuffled.
-    inside = shared.select(F.col("doc_id").alias("rep")).distinct()
-    texts = stage(source.select(node.alias("rep"), "text").join(inside, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
-
-    # Pass 1: every member against its block's least one.
-    side = points.select(F.col("node"), "cls", "n", "counts")
-    tried = shared.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), "cls").dropDuplicates(["a", "b"])
-    bounded = tried.join(side.selectExpr("node AS b", "cls", "n AS nb", "counts AS cb"), ["b", "cls"]).join(side.selectExpr("node AS a", "cls", "n AS na", "counts AS ca"), ["a", "cls"])
-    first = bounded.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_within_bound, "a long, b long")
-    linked = stage(_verify(first, texts), "links1")
-    comp = components(linked)
-
-    # Pass 2: blocks that still hold several components, across components only: first each member
-    # with the one partner in all its blocks that the bound favours, as long as that finds links,
-    # then whatever pairs are left.
-    known = shared.select("key", "doc_id", "cls", "c")
+    node = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("n", "s1", "s2")).otherwise(F.xxhash64("doc_id", "_row"))
+    described = stage(source.mapInArrow(_describe, DESCRIBED), "described").withColumn("node", node)
+
+    # Blocks of two nodes or more: minima are combined before the shuffle, and the join's side of
+    # many rows can be split, so a hot block is never gathered.
+    rows = described.where("cls >= 0").select(F.explode("keys").alias("key"), "node", "cls")
+    two = rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    shared = stage(rows.join(two, "key", "left_semi").distinct(), "shared")
+    # Blocks of equal members are one block.
+    alike = shared.groupBy("key", "cls").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    kept = alike.groupBy("cls", "c", "x", "y").agg(F.min("key").alias("key")).select("key", "cls", "c")
+    blocks = stage(shared.join(kept, ["key", "cls"]), "blocks")
+
+    # Whole texts and points of the block members only: the one time that texts are shuffled.
+    inside = blocks.select("node").distinct()
+    of_blocks = described.where("cls >= 0").join(inside, "node", "left_semi")
+    points = stage(of_blocks.groupBy("node", "cls").agg(F.min("n").alias("n"), F.min("counts").alias("counts")), "points")
+    least = of_blocks.groupBy("node").agg(F.min(F.struct("doc_id", "_row")).alias("at")).select("node", "at.doc_id", "at._row")
+    texts = stage(source.join(least, ["doc_id", "_row"]).select("node", "text").dropDuplicates(["node"]), "texts")
+
+    linked, comp, known = None, None, blocks
     for round_ in range(ROUNDS + 1):
-        best = round_ < ROUNDS
-        known = known.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "cls", "c", F.coalesce("component", "doc_id").alias("comp"))
-        mixed = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        known = stage(known.join(mixed, "key"), "known")
-        parts = F.ceil(F.col("c") / BLOCK).cast("int")
-        # The first rounds only save the last one work: each takes another part of the blocks.
-        tried = known.where(F.pmod(F.xxhash64("key"), F.lit(PART_OF_BLOCKS)) == round_) if best else known
-        dealt = tried.join(side.selectExpr("node AS doc_id", "cls", "n", "counts"), ["doc_id", "cls"])
-        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-        dealt = dealt.select("key", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "doc_id", "n", "comp", "counts")
-        dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = dealt.mapInArrow(_block_pairs(best), "a long, b long, alike double")
-        if best:
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = stage(_verify(pairs, texts), "links2")
-        if not more.isEmpty():
-            linked = linked.unionByName(more)
-            comp = components(linked)
-
-    # Back to documents. A node's own doc_id set joins the texts that share a doc_id.
-    whose = member.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("rep", "rep_row")).otherwise(F.xxhash64("doc_id", "_row")))
-    whose = whose.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = whose.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return whose.join(least, "component").select("doc_id", "_row", F.col("n").alias("n_shingles"), "component_id")
+        spanning = round_ < ROUNDS
+        if comp is not None:
+            known = stage(known.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "known")
+        else:
+            known = known.withColumn("comp", F.col("node"))
+        tried = known.where((F.col("c") > LEAF) & (F.pmod(F.xxhash64("key"), F.lit(SHARE_OF_BLOCKS)) == round_)) if spanning else known
+        pairs = stage(_dealt(tried, points, spanning).mapInArrow(_block_pairs(spanning), "a long, b long").distinct(), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = stage(_verify(pairs, texts), "links")
+        if more.isEmpty():
+            continue
+        linked = more if linked is None else linked.unionByName(more)
+        comp = components(linked)
+
+    # Back to documents.
+    whose = described.select("doc_id", "_row", "n", "node").distinct()
+    if comp is not None:
+        whose = whose.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    else:
+        whose = whose.withColumn("component", F.col("node"))
+    smallest = whose.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return whose.join(smallest, "component").select("doc_id", "_row", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component: the one whose doc_id is the component's, with all its
-    columns. Rows equal in doc_id and text are one document; rows without doc_id stay."""
-    found = jaccard_components(docs).where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r")).distinct()
-    return docs.withColumn("_key", text_key()).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_r")), "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    columns, whatever their names. Rows equal in doc_id and text are one document: of those that
+    differ elsewhere the one of least hash stays. Rows without doc_id stay, equal texts once."""
+    key, d, r = unused(docs, "key", "d", "r")
+    found = jaccard_components(docs).where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias(d), F.col("_row").alias(r)).distinct()
+    kept = docs.withColumn(key, text_key()).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(key) == F.col(r)), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = kept.groupBy("doc_id", key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(d))
+    return one.select(f"{d}.*")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_key() -> "F.Column":
     """Tells rows with one doc_id and different texts apart; equal rows count as one document."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names for an operator's own use that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        k = 0
+        while f"_{name}{k}" in taken:
+            k += 1
+        taken.add(f"_{name}{k}")
+        out.append(f"_{name}{k}")
+    return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import slices
-from .store import table
+from .store import columns, table, unused
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
@@ -315,18 +315,20 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
     texts have no tokens and decode to the empty string. Special tokens' strings in a text are the
     special tokens. Columns not in ``keep`` don't matter, whatever their names.
     """
-    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
+    kept = docs.select(*columns(keep))
+    schema = kept.schema.add("n_tokens", "long").add("ids", "binary").add("decoded", "string")
+    (own,) = unused(kept, "text")
     names = [f.name for f in schema.fields]
 
     def run(batches):
         bpe = tokenizer(path)
-        for part in slices(batches, "_text", 1 << 20):
-            got = bpe.encode_many(part.column("_text").to_pylist())
-            columns = [part.column(k) for k in keep]
-            columns += [pa.array([len(i) for i, _ in got], pa.int64()), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for part in slices(batches, own, 1 << 20):
+            got = bpe.encode_many(part.column(own).to_pylist())
+            out = [part.column(k) for k in keep]
+            out += [pa.array([len(i) for i, _ in got], pa.int64()), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns(keep), F.col(text).alias(own)).mapInArrow(run, schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

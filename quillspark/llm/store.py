@@ -56,3 +56,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(f"_{name}{k}")
         out.append(f"_{name}{k}")
     return out
+
+
+def columns(names: list[str]) -> list["F.Column"]:
+    """Columns by their plain names, dots and blanks included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]

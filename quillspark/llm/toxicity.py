@@ -7,7 +7,8 @@ token's probability, whose aggregates a logistic layer, fitted on the same train
 into the document score. Offsets of tokens over one half are the offending spans.
 
 Training is on the driver over a bounded sample of labelled rows (``SAMPLE`` of each label, those of
-least hash); the model is a few thousand weights, broadcast with the task. Scoring sees whole texts.
+least hash, as far as their texts fit ``SAMPLE_BYTES``); the model is the weights of their words,
+broadcast with the task. A text is one chain, in training and scoring, however long.
 """
 
 from __future__ import annotations
@@ -16,18 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import CODES, LOWER, batch_bytes, byte_set, slices, span_hashes, spans
-from .store import table
+from .store import columns, table, unused
 
 #: Labelled training rows of each label at most: a bounded, documented sample.
 SAMPLE = 1500
-#: Words of the model at most (those seen in most training documents), and chains of tokens: a text is
-#: tagged in runs of at most CHAIN tokens, cut at nothing else.
-WORDS, CHAIN = 20_000, 128
+#: Bytes of these rows' texts at most, those of least hash first.
+SAMPLE_BYTES = 64 << 20
+#: Tokens that are summed up into one 2 x 2 transfer, so that long chains run in parallel.
+PIECE = 128
 THRESHOLD = 0.7
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())]))
 
@@ -63,51 +65,84 @@ def lookup(words: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the token runs that are tagged as one sequence each."""
+    """Starts and lengths of the texts that have tokens: each is tagged as one sequence."""
     size = np.diff(first)
-    parts = -(-size // CHAIN)
-    text = np.repeat(np.arange(len(size)), parts)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = first[:-1][text] + k * CHAIN
-    return start, np.minimum(CHAIN, first[1:][text] - start)
+    return first[:-1][size > 0], size[size > 0]
 
 
 def forward_backward(unary: np.ndarray, start: np.ndarray, length: np.ndarray, trans: np.ndarray, initial: np.ndarray):
     """Marginal probability of the toxic tag of every token, the log-partition sum and the expected
-    transition and initial counts, over all chains at once (scaled, in probability space)."""
-    n, m = len(start), int(length.max(initial=0))
-    if not n:
+    transition and initial counts, over all chains at once (scaled, in probability space).
+
+    Chains run in pieces of ``PIECE`` tokens side by side: a piece's product of 2 x 2 transfers tells what
+    reaches it from the left and the right, so the result is that of the uncut chain.
+    """
+    if not len(start):
         return np.zeros(0), 0.0, np.zeros((2, 2)), np.zeros(2)
-    order = np.argsort(-length, kind="stable")
-    start, length = start[order], length[order]
-    alive = np.searchsorted(-length, -np.arange(m), "left")  # chains longer than t
+    parts = -(-length // PIECE)
+    chain = np.repeat(np.arange(len(start)), parts)
+    base = np.cumsum(parts) - parts
+    at = np.arange(len(chain)) - base[chain]
+    begin = start[chain] + at * PIECE
+    size = np.minimum(PIECE, start[chain] + length[chain] - begin)
+    order = np.argsort(-size, kind="stable")
+    begin, size, opens = begin[order], size[order], at[order] == 0
+    n, m = len(order), int(size.max())
+    alive = np.searchsorted(-size, -np.arange(m), "left")  # pieces longer than t
     top = np.maximum(unary, 0)
     em = np.stack((np.exp(-top), np.exp(unary - top)), 1)
+    e, s = np.exp(trans), np.exp(initial)
+    come, go = np.empty((n, 2)), np.ones((n, 2))  # what enters a piece, and what leaves it
+    if parts.max() > 1:
+        whole = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+        for t in range(m):
+            k = alive[t]
+            step = np.where(opens[:k, None, None], whole[:k], whole[:k] @ e) if t == 0 else whole[:k] @ e
+            whole[:k] = step * em[begin[:k] + t][:, None, :]
+            whole[:k] /= whole[:k].sum((1, 2), keepdims=True)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        flow = np.broadcast_to(s, (len(start), 2)).copy()
+        for j in range(int(parts.max())):
+            c = np.flatnonzero(parts > j)
+            r = rank[base[c] + j]
+            come[r] = flow[c]
+            out = (flow[c][:, None, :] @ whole[r])[:, 0]
+            flow[c] = out / out.sum(1, keepdims=True)
+        flow = np.ones((len(start), 2))
+        for j in range(int(parts.max()) - 1, -1, -1):
+            c = np.flatnonzero(parts > j)
+            r = rank[base[c] + j]
+            go[r] = flow[c]
+            back = (whole[r] @ flow[c][:, :, None])[:, :, 0]
+            flow[c] = back / back.sum(1, keepdims=True)
     a = np.zeros((m, n, 2))
     z = float(top.sum())
-    e, s = np.exp(trans), np.exp(initial)
     for t in range(m):
         k = alive[t]
-        x = (s if t == 0 else a[t - 1, :k] @ e) * em[start[:k] + t]
+        before = np.where(opens[:, None], s, come @ e) if t == 0 else a[t - 1, :k] @ e
+        x = before * em[begin[:k] + t]
         c = x.sum(1, keepdims=True)
         a[t, :k] = x / c
         z += float(np.log(c).sum())
     p = np.zeros(len(unary))
     pair, first = np.zeros((2, 2)), np.zeros(2)
-    b = np.ones((n, 2))
+    b = go
     for t in range(m - 1, -1, -1):
         k = alive[t]
         g = a[t, :k] * b[:k]
         g /= g.sum(1, keepdims=True)
-        p[start[:k] + t] = g[:, 1]
-        if t == 0:
-            first = g.sum(0)
-        else:
-            y = em[start[:k] + t] * b[:k]
-            w = a[t - 1, :k, :, None] * e * y[:, None, :]
-            pair += (w / w.sum((1, 2), keepdims=True)).sum(0)
+        p[begin[:k] + t] = g[:, 1]
+        inner = slice(0, k) if t else np.flatnonzero(~opens)
+        left = a[t - 1, :k] if t else come[inner]
+        y = em[begin[inner] + t] * b[inner]
+        w = left[:, :, None] * e * y[:, None, :]
+        pair += (w / w.sum((1, 2), keepdims=True)).sum(0)
+        if t:
             b[:k] = y @ e.T
             b[:k] /= b[:k].sum(1, keepdims=True)
+        else:
+            first = g[opens].sum(0)
     return p, z, pair, first
 
 
@@ -155,8 +190,6 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 20) -> Model:
     in_toxic = y[doc] > 0
     pairs = np.unique(np.stack((at[in_toxic].astype(np.uint64), left[in_toxic])), axis=1)[0].astype(np.int64)
     tox = np.minimum(tox, np.bincount(pairs, minlength=len(vocab)))
-    kept = np.sort(np.argsort(-df, kind="stable")[:WORDS])
-    vocab, df, tox = vocab[kept], df[kept], tox[kept]
     n1, n0 = y.sum(), len(y) - y.sum()
     odds = np.log((tox + 0.3) / (n1 + 0.6)) - np.log((df - tox + 0.3) / (n0 + 0.6))
     # A toxic word is far likelier in toxic documents, by more than chance could do.
@@ -208,8 +241,9 @@ def apply(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on labelled rows whose crc32(doc_id) mod 3 is not 1: at most ``sample`` of each label,
-    those of least hash of doc_id, so the choice is the same on every run and cluster. Rows with a
-    null label are not used; of rows that repeat a doc_id, one label (the larger) counts."""
+    those of least hash of doc_id, so the choice is the same on every run and cluster, and of these
+    as many as have ``SAMPLE_BYTES`` of text. Rows with a null label are not used; of rows that
+    repeat a doc_id, one label (the larger) and one text (the smallest) count."""
     usable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL AND pmod(crc32(cast(cast(doc_id AS string) AS binary)), 3) <> 1")
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
@@ -217,26 +251,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         part = usable.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     # 2 * sample ids: the bounded side is broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
     return train([t if isinstance(t, str) else None for t in rows["text"]], rows["toxic"].tolist())
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """One row per input row: the ``keep`` columns, ``score`` (0 to 1) and ``spans`` (byte offsets
-    and probability of each toxic token). Null and empty texts have no tokens: the score of a text
-    without toxic words. No shuffle; repeated rows are scored each; columns not in ``keep`` are
-    not read, whatever their names."""
-    schema = docs.select(*keep).schema.add("score", "double").add("spans", SPANS)
+def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "spans")) -> DataFrame:
+    """One row per input row: the ``keep`` columns, a score (0 to 1) and spans (byte offsets and
+    probability of each toxic token) under the two ``names``, which no column of ``keep`` may have.
+    Null and empty texts have no tokens: the score of a text without toxic words. No shuffle;
+    repeated rows are scored each; columns not in ``keep`` are not read, whatever their names."""
+    kept = docs.select(*columns(keep))
+    schema = kept.schema.add(names[0], "double").add(names[1], SPANS)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
-    names = [f.name for f in schema.fields]
+    out_names = [f.name for f in schema.fields]
+    (text,) = unused(kept, "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in slices(batches, "_text"):
-            s, spans_ = apply(shared.value, part.column("_text"))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(s), pa.array(spans_, kind)], names)
+        for part in slices(batches, text):
+            s, spans_ = apply(shared.value, part.column(text))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(s), pa.array(spans_, kind)], out_names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*columns(keep), F.col("text").alias(text)).mapInArrow(run, schema)
 
 
 HELD_OUT = "pmod(crc32(cast(cast(doc_id AS string) AS binary)), 3) = 1"

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from quillspark.llm import toxicity
 from quillspark.llm.toxicity import apply, chains, fit, forward_backward, score, train
@@ -24,7 +25,9 @@ def corpus(n=600, seed=4):
     return texts, labels
 
 
-def test_forward_backward_equals_enumeration():
+@pytest.mark.parametrize("piece", [1, 2, 3, 128])
+def test_forward_backward_equals_enumeration(monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
     rng = np.random.default_rng(0)
     unary, trans, init = rng.normal(size=9), rng.normal(size=(2, 2)), rng.normal(size=2)
     start, length = np.array([0, 4, 5]), np.array([4, 1, 4])
@@ -61,7 +64,7 @@ def test_long_text_is_scored_whole():
     (a, b), _ = apply(model, pa.array([clean, clean + "idiot " + clean[:8]]))
     assert b > a
     start, length = chains(np.array([0, 300, 300, 301]))
-    assert start.tolist() == [0, 128, 256, 300] and length.tolist() == [128, 128, 44, 1]
+    assert start.tolist() == [0, 300] and length.tolist() == [300, 1]
 
 
 def test_edges(spark):
@@ -77,6 +80,24 @@ def test_edges(spark):
     assert zlib.crc32(b"1") % 3 in (0, 1, 2)
 
 
+def test_scores_keep_clashing_columns(spark):
+    texts, labels = corpus(200)
+    model = train(texts, labels)
+    docs = spark.createDataFrame([(1, "idiot moron", "a", "b", "c")], "doc_id long, text string, score string, _text0 string, spans string")
+    row = score(docs, model, docs.columns, ("_s", "_p")).first()
+    assert row[:5] == (1, "idiot moron", "a", "b", "c") and row._s > 0.7 and len(row._p) == 2
+
+
+def test_sample_is_bounded_by_bytes(spark, monkeypatch):
+    texts, labels = corpus(100)
+    docs, rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda t, y: seen.append(sum(map(len, t))))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
+    fit(docs, rows)
+    assert 0 < seen[0] <= 2000
+
+
 def test_every_chain_is_trained_on(monkeypatch):
     texts, labels = corpus()[:2]
     seen = []

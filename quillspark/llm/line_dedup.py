@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import WHITE, batch_bytes, byte_set, mix, prefix_hash, signed, slices, spans
-from .store import stage, table, text_key
+from .store import columns, stage, table, text_key, unused
 
 #: Words of the shortest run that is deleted, where no other number is given.
 LEAST = 50
@@ -125,10 +125,10 @@ def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return later.groupBy("doc_id", "_row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts"))
 
 
-def _cut(schema_names):
+def _cut(names, cuts_name):
     def run(batches):
         for batch in batches:
-            texts, cuts = batch.column("text").to_pylist(), batch.column("_cuts").to_pylist()
+            texts, cuts = batch.column("text").to_pylist(), batch.column(cuts_name).to_pylist()
             removed = []
             for k, cut in enumerate(cuts):
                 gone: set[int] = set()
@@ -137,14 +137,14 @@ def _cut(schema_names):
                 removed.append(len(gone))
                 if gone:
                     texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in gone)
-            columns = {c: batch.column(c) for c in batch.schema.names} | {"text": pa.array(texts, pa.string()), "_removed": pa.array(removed, pa.int64())}
-            yield pa.RecordBatch.from_arrays([columns[c] for c in schema_names], schema_names)
+            made = {"text": pa.array(texts, pa.string()), names[-1]: pa.array(removed, pa.int64())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
     return run
 
 
-def dedup_lines(docs: DataFrame, min_words: int = LEAST) -> DataFrame:
-    """Every document with the later repeats of runs of whole lines taken out of its text, and
-    ``_removed``, the number of lines taken; the other columns stay.
+def dedup_lines(docs: DataFrame, min_words: int = LEAST, removed: str = "_removed") -> DataFrame:
+    """Every document with the later repeats of runs of whole lines taken out of its text, and the
+    number of lines taken as ``removed``; the other columns stay, whatever their names.
 
     A line is deleted if it lies in a run of consecutive whole lines with ``min_words`` words or more that
     also occurs earlier: in a document of smaller doc_id, or further up in the same one (judged on
@@ -152,17 +152,19 @@ def dedup_lines(docs: DataFrame, min_words: int = LEAST) -> DataFrame:
     tie of doc_id goes by line and then by the text's hash). Shorter repeats stay, and so does the
     first occurrence. Null and empty texts have no words and stay; rows equal in doc_id and text
     are one document; a null doc_id counts as before all others. Empty table: no rows. A text that
-    loses all lines becomes empty; its row stays. Extra columns stay; ``_row`` and ``_removed``
-    are this operator's own.
+    loses all lines becomes empty; its row stays. A column that already has the name ``removed`` is
+    an error.
     """
     if min_words < 1:
         raise ValueError("a run has one word at least")
-    docs = docs.drop("_row", "_removed", "_cuts")
-    cuts = repeated_runs(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), F.col("cuts").alias("_cuts"))
-    keyed = docs.withColumn("_row", text_key())
-    joined = keyed.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_removed", T.LongType())])
-    return joined.select(*docs.columns, "_cuts").mapInArrow(_cut([f.name for f in schema.fields]), schema)
+    if removed in docs.columns:
+        raise ValueError(f"the documents have a column {removed} of their own")
+    d, r, key, cut = unused(docs.withColumn(removed, F.lit(0)), "d", "r", "key", "cuts")
+    cuts = repeated_runs(docs, min_words).select(F.col("doc_id").alias(d), F.col("_row").alias(r), F.col("cuts").alias(cut))
+    keyed = docs.withColumn(key, text_key())
+    joined = keyed.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(key) == F.col(r)), "left")
+    schema = T.StructType([*docs.schema.fields, T.StructField(removed, T.LongType())])
+    return joined.select(*columns(docs.columns), cut).mapInArrow(_cut([f.name for f in schema.fields], cut), schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import columns, table, unused
 
 #: (verdict, host and path) of the rules of the op5 query.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -21,7 +21,7 @@ SHORT = 8  # hex digits of a digest that the equi-join uses
 
 def split_url(df: DataFrame, url: str) -> DataFrame:
     """Adds ``host`` and ``path``; a null URL or one without ``://`` has both empty."""
-    q = f"`{url}`"
+    q = "`" + url.replace("`", "``") + "`"
     rest = f"substring({q}, instr({q}, '://') + 3)"
     raw = f"substring_index(substring_index(substring_index({rest}, '/', 1), '?', 1), '#', 1)"
     path = f"substring_index(substring_index(substring({rest}, length({raw}) + 1), '?', 1), '#', 1)"
@@ -58,7 +58,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, path_lengths: list[int], url
     verdict are replaced.
     """
     pages = pages.drop(*({"host", "path", "rule", "verdict"} - {url}))
-    distinct = split_url(pages.select(F.col(url).alias("u")).where("u IS NOT NULL").distinct(), "u").where("host <> ''")
+    u, best_ = unused(pages, "u", "best")
+    own = columns([url])[0]
+    distinct = split_url(pages.select(own.alias("u")).where("u IS NOT NULL").distinct(), "u").where("host <> ''")
     lengths = "array(" + ",".join(map(str, sorted(set(path_lengths)))) + ")" if path_lengths else "cast(array() as array<int>)"
     expressions = F.expr(f"""
         flatten(transform(sequence(1, size(split(host, '[.]'))), i ->
@@ -68,9 +70,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, path_lengths: list[int], url
     # The rule side is small for sure: a rule list is configuration, and the threshold checks its size.
     hits = tried.join(rules, (F.substring("full", 1, SHORT) == F.col("short")) & (F.col("full") == F.col("digest")))
     best = hits.groupBy("u").agg(
-        F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("rule") - F.col("path_len"), "rule")).alias("best"))
-    joined = pages.join(best, F.col(url) == F.col("u"), "left").drop("u")
-    return split_url(joined, url).withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.verdict"), F.lit(default))}).drop("best")
+        F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.length("rule") - F.col("path_len"), "rule")).alias(best_)).withColumnRenamed("u", u)
+    # Null URLs fit nothing: each is dealt out by its row. A hot URL's rows are the side of the join
+    # that can be split, and meet one row of the judged ones.
+    row = F.xxhash64(*columns([c for c, kind in pages.dtypes if "map<" not in kind]))
+    joined = pages.join(best, F.coalesce(own, F.concat(F.lit("\0"), row.cast("string"))) == F.col(u), "left").drop(u)
+    return split_url(joined, url).withColumns({"rule": F.col(f"{best_}.rule"), "verdict": F.coalesce(F.col(f"{best_}.verdict"), F.lit(default))}).drop(best_)
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,3 +32,9 @@ def test_equals_brute_force(spark):
     got = sorted(str((r.page_id, r.host, r.path, r.rule, r.verdict)) for r in out.collect())
     assert got == sorted(str((i, *brute(u))) for i, u, *_ in rows)
     assert filter_urls(spark.createDataFrame([], SCHEMA), rules, [4, 5]).collect() == []
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "http://com/en/", "a", "b", "c"), (2, None, "a", "b", "c")], "page_id long, url string, u string, best string, _u0 string")
+    got = filter_urls(df, rules_table(spark, RULES), [4, 5]).orderBy("page_id").collect()
+    assert [(r.page_id, r.u, r.best, r._u0, r.rule, r.verdict) for r in got] == [(1, "a", "b", "c", "com/en/", "block"), (2, "a", "b", "c", None, "allow")]

@@ -1,8 +1,15 @@
+import hashlib
 import random
+from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from quillspark.llm import mixing
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_ngram_join import brute as brute_near
 
@@ -53,9 +60,30 @@ def test_stages_equal_brute_force_on_their_own_inputs(spark, sf_dir):
     groups = brute_near(sorted(text(lines).items()))
     assert one.columns == columns and set(text(one)) == {i for i, _, root in groups if i == root}
     mixed = P.mix_sources(spark, one, sf_dir).cache()
-    assert mixed.columns == columns and text(mixed) == text(one) and one.count() <= mixed.count() <= 2 * one.count()
+    copies = Counter(r.doc_id for r in mixed.collect())
+    want = {r.doc_id: r.copies for r in mixing.mix(one, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect() if r.copies}
+    assert mixed.columns == columns and copies == want
+    assert text(mixed) == {i: t for i, t in text(one).items() if i in want}
     out = P.encode_texts(spark, mixed, sf_dir)
-    assert out.count() == mixed.count()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    ids = lambda t: library.encode(t or "", add_special_tokens=False).ids
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in out.collect()) == sorted(
+        (r.doc_id, len(ids(r.text)), hashlib.sha256(np.array(ids(r.text), "<u4").tobytes()).hexdigest()) for r in mixed.collect())
+
+
+def test_stages_take_repeated_rows_empty_tables_and_any_column_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ["score", "spans", "_text", "_text0", "_row", "_cuts", "_d", "_removed", "_removed0", "_key", "_n", "_copies", "rate", "node", "component", "p", "tokens"]
+    odd = docs.unionByName(docs.where("doc_id < 40")).select("*", *[F.lit(n).alias(n) for n in names])
+    for name, function in P.STAGES[:-1]:
+        assert function(spark, odd.limit(0), sf_dir).collect() == [], name
+        out = function(spark, odd, sf_dir)
+        assert out.columns == odd.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == n for r in rows for n in names), name
+    assert P.encode_texts(spark, odd, sf_dir).count() == odd.count()
 
 
 def test_run(spark, sf_dir):

@@ -9,26 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from quillspark.llm.store import stage, table
+from quillspark.llm.store import columns, stage, table, unused
 
 
-#: Targets of the mixing stage, as multiples of each domain's tokens; reached by repeats alone.
-MIX_LIFT = {"good": 1.2, "low": 1.05}
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the CRF scores at the threshold or over; the others stay as they are."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    names = unused(docs, "score", "spans")
+    return toxicity.score(docs, model, docs.columns, names).where(F.col(names[0]) < toxicity.THRESHOLD).select(*columns(docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes later repeats of runs of lines out of the texts; ``n_chars`` follows. Documents stay,
     unless nothing but white space is left of one that had more."""
-    out = line_dedup.dedup_lines(docs)
-    gone = (F.col("_removed") > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
+    (removed,) = unused(docs, "removed")
+    out = line_dedup.dedup_lines(docs, removed=removed)
+    gone = (F.col(removed) > 0) & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")
     out = out.where(~gone | F.col("text").isNull())
-    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    n_chars = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
+    return out.withColumn("n_chars", n_chars).select(*columns(docs.columns))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate says, and never less than once: so the targets here
-    are over the totals at rate 1."""
-    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"), floor=1.0, lift=MIX_LIFT)
+    """Each document as often as its fitted rate says: never (rate 0), once or more. The targets are
+    those of the query, 95 and 5 per cent of the tokens."""
+    return mixing.apply_mix(docs, table(spark, sf_dir, "labels"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,12 +21,88 @@ def metadata(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str
         F.round(F.avg("sentence_length"), 2).alias("avg_sentence_length"), F.round(F.avg("simpson"), 4).alias("avg_simpson"))
 
 
-def block_metrics(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
-    """Long table ``(series_id, metric, idx, value)`` of the four metrics."""
-    rich = lexical_richness(docs, size, overlap, key)
-    out = rich.select(F.col(key).alias("series_id"), F.col("block").alias("idx"), F.expr("stack(2, 'simpsonIndex', simpson, 'hapaxLegomena', honore) AS (metric, value)"))
-    out = out.unionByName(sentence_lengths(docs, size, overlap, key).select(F.col(key).alias("series_id"), F.col("block").alias("idx"), F.lit("sentenceLength").alias("metric"), F.col("sentence_length").alias("value")))
-    return out.unionByName(pca_coordinates(docs, size, overlap, key).select(F.col(key).alias("series_id"), F.col("block").alias("idx"), F.lit("functionWords").alias("metric"), F.col("pc1").alias("value")))
+#: The four metrics of a block.
+METRICS = ("sentenceLength", "simpsonIndex", "hapaxLegomena", "functionWords")
+
+
+def block_metrics(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """Long table ``(series_id, metric, idx, value)`` of the metrics asked for; others aren't computed."""
+    parts = []
+    unknown = set(metrics) - set(METRICS)
+    if unknown:
+        raise ValueError(f"no metrics of a block: {sorted(unknown)}")
+    named = {"simpsonIndex": "simpson", "hapaxLegomena": "honore"}
+    rich = [m for m in metrics if m in named]
+    if rich:
+        stack = ", ".join(f"'{m}', {named[m]}" for m in rich)
+        parts.append(lexical_richness(docs, size, overlap, key).select(F.col(key).alias("series_id"), F.col("block").alias("idx"), F.expr(f"stack({len(rich)}, {stack}) AS (metric, value)")))
+    if "sentenceLength" in metrics:
+        parts.append(sentence_lengths(docs, size, overlap, key).select(F.col(key).alias("series_id"), F.col("block").alias("idx"), F.lit("sentenceLength").alias("metric"), F.col("sentence_length").alias("value")))
+    if "functionWords" in metrics:
+        parts.append(pca_coordinates(docs, size, overlap, key).select(F.col(key).alias("series_id"), F.col("block").alias("idx"), F.lit("functionWords").alias("metric"), F.col("pc1").alias("value")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("series_id", "metric", "idx", "value")
+
+
+def book_by_name(corpus: DataFrame, name, key: str = "book") -> DataFrame:
+    """The rows of one book: none if there is no such book."""
+    return corpus.where(F.col(key) == F.lit(name))
+
+
+def selected_books(corpus: DataFrame, selection: DataFrame, key: str = "book") -> DataFrame:
+    """The rows of the books that are selected."""
+    return corpus.join(selection.select(key).distinct(), key, "left_semi")
+
+
+def toggle(selection: DataFrame, book, key: str = "book") -> DataFrame:
+    """The selection without ``book`` if it holds it, else with it; the only one selected stays."""
+    rest = selection.select(key).distinct()
+    kind = dict(rest.dtypes)[key]
+    one = selection.sparkSession.range(1).select(F.lit(book).cast(kind).alias(key))
+    new = one.join(rest, key, "left_anti")
+    others = rest.where(F.col(key) != F.lit(book))
+    alone = rest.where(F.col(key) == F.lit(book)).withColumn("_k", F.lit(1)).join(others.limit(1).select(F.lit(1).alias("_k")), "_k", "left_anti").drop("_k")
+    return others.unionByName(new).unionByName(alone)
+
+
+def sort_books(books: DataFrame, by: str, descending: bool = True, key: str = "book") -> DataFrame:
+    """Books in order of a measure, either way; ties by name."""
+    return books.orderBy(F.col(by).desc() if descending else F.col(by).asc(), key)
+
+
+def first_book(books: DataFrame, key: str = "book") -> DataFrame:
+    """The book that is shown first: the least name."""
+    return books.select(key).orderBy(key).limit(1)
+
+
+def hovered(blocks_: DataFrame, book, key: str = "book") -> DataFrame:
+    """Whether each block belongs to the book under the pointer."""
+    return blocks_.withColumn("highlight", F.col(key).eqNullSafe(F.lit(book)))
+
+
+def totals(series: DataFrame) -> DataFrame:
+    """One row: books, their blocks, the longest series and the rows of its square grid."""
+    per = series.groupBy("series_id").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("books"), F.sum("n").alias("total_blocks"), F.max("n").alias("longest"), F.max(F.ceil(F.sqrt("n"))).cast("int").alias("grid_rows"))
+
+
+def nonempty(books: DataFrame, series: DataFrame, key: str = "book") -> DataFrame:
+    """The books that have a series of one value or more."""
+    return books.join(series.where("value IS NOT NULL").select(F.col("series_id").alias(key)).distinct(), key, "left_semi")
+
+
+def brush_blocks(docs: DataFrame, metric: str, first: int, last: int, n: int = 3, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", keywords: int = 3) -> DataFrame:
+    """``(series_id, rank, idx, value, preview, keywords)``: the brush's blocks with their text and keywords.
+    Texts are cut for the chosen blocks only."""
+    step = size - overlap
+    chosen = brush(block_metrics(docs, size, overlap, key, (metric,)), first, last, n)
+    words = top_keywords(token_panes(docs, size, overlap, key).where(F.col("block").between(first, last)), [key, "block"], keywords).groupBy(key, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tok"))), lambda x: x["tok"]).alias("keywords"))
+    out = chosen.join(docs.select(F.col(key).alias("series_id"), T.words(F.col("text")).alias("_w")), "series_id")
+    out = out.withColumn("preview", T.preview(F.array_join(F.slice("_w", F.col("idx") * step + 1, size), " "), 1200)).drop("_w")
+    out = out.join(words.select(F.col(key).alias("series_id"), F.col("block").alias("idx"), "keywords"), ["series_id", "idx"], "left")
+    return out.select("series_id", "rank", "idx", "value", "preview", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
 def global_range(metrics: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.words import STOPWORDS
-from .blocks import OVERLAP, SIZE, blocks, token_panes
+from .blocks import OVERLAP, SIZE, blocks, check, starts, token_panes
 
 
 def sentence_length(text: Column) -> Column:
@@ -31,8 +31,6 @@ def richness_of(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 def lexical_richness(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
     """Richness of every block; blocks without tokens have zeros, as they'd vanish from the counts."""
-    from .blocks import check, starts
-
     step = check(size, overlap)
     found = richness_of(token_panes(docs, size, overlap, key), [key, "block"])
     every = docs.select(key, T.words(F.col("text")).alias("_w")).repartition(key).select(key, F.explode(starts(F.col("_w"), size, step)).alias("block"))
@@ -55,8 +53,24 @@ def top_keywords(counts: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
 def function_words(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
     """``(key, block, tok, n)``: counts of function words of two characters and more (shorter ones are
     never counted). Words that don't occur have no row."""
-    b = blocks(docs, size, overlap, key)
-    return b.select(key, "block", F.explode(T.counted_tokens(F.col("block_text"))).alias("tok")).where(F.col("tok").isin(STOPWORDS)).groupBy(key, "block", "tok").agg(F.count("*").alias("n"))
+    return token_panes(docs, size, overlap, key, tokens=T.counted_tokens, only=STOPWORDS).select(key, "block", "tok", "n")
+
+
+def last_blocks(docs: DataFrame, size: int, overlap: int, key: str) -> DataFrame:
+    """``(key, last)``: the number of the last block of each document that has any."""
+    step = check(size, overlap)
+    n = F.size(T.words(F.col("text")))
+    return docs.select(key, n.alias("_n")).where(F.col("_n") >= size).select(key, F.floor((F.col("_n") - size) / step).cast("int").alias("last"))
+
+
+def function_word_vectors(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
+    """``(key, block, vector)``: of every block the counts of all function words in the order of the
+    list, 0 for those that don't occur."""
+    vocabulary = F.array(*map(F.lit, dict.fromkeys(STOPWORDS)))
+    counts = function_words(docs, size, overlap, key).groupBy(key, "block").agg(F.map_from_entries(F.collect_list(F.struct("tok", "n"))).alias("_m"))
+    every = last_blocks(docs, size, overlap, key).select(key, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("block"))
+    found = every.join(counts, [key, "block"], "left").withColumn("_m", F.coalesce("_m", F.create_map().cast("map<string, bigint>")))
+    return found.select(key, "block", F.transform(vocabulary, lambda w: F.coalesce(F.element_at("_m", w), F.lit(0).cast("long"))).alias("vector"))
 
 
 def principal_plane(matrix: np.ndarray) -> np.ndarray:
@@ -74,20 +88,19 @@ def principal_plane(matrix: np.ndarray) -> np.ndarray:
 
 
 def pca_coordinates(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
-    """``(key, block, pc1, pc2)``, the plane fitted per document over its blocks' function words."""
-    vocabulary = [w for w in dict.fromkeys(STOPWORDS)]
-    where = {w: i for i, w in enumerate(vocabulary)}
-    b = blocks(docs, size, overlap, key)
-    hits = b.select(key, "block", F.filter(T.counted_tokens(F.col("block_text")), lambda t: t.isin(vocabulary)).alias("hits"))
-    kind = dict(hits.dtypes)[key]
+    """``(key, block, pc1, pc2)``, the plane fitted per document over its blocks' function words: these
+    are counted by panes, and one document's counts meet in one group."""
+    vocabulary = list(dict.fromkeys(STOPWORDS))
+    counts = function_words(docs, size, overlap, key)
+    place = F.element_at(F.create_map(*[F.lit(x) for i, w in enumerate(vocabulary) for x in (w, i)]), F.col("tok"))
+    cells = counts.select(key, "block", place.alias("word"), "n").unionByName(
+        last_blocks(docs, size, overlap, key).select(key, F.col("last").alias("block"), F.lit(0).alias("word"), F.lit(0).cast("long").alias("n")))
+    kind = dict(docs.dtypes)[key]
 
     def plane(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        m = np.zeros((len(pdf), len(vocabulary)))
-        for i, found in enumerate(pdf["hits"]):
-            for t in found:
-                m[i, where[t]] += 1
+        m = np.zeros((int(pdf["block"].max()) + 1, len(vocabulary)))
+        np.add.at(m, (pdf["block"].to_numpy(), pdf["word"].to_numpy()), pdf["n"].to_numpy())
         xy = principal_plane(m)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "block": pdf["block"].to_numpy(), "pc1": xy[:, 0], "pc2": xy[:, 1]})
+        return pd.DataFrame({key: pdf[key].iloc[0], "block": np.arange(len(m), dtype=np.int32), "pc1": xy[:, 0], "pc2": xy[:, 1]})
 
-    return hits.groupBy(key).applyInPandas(plane, f"{key} {kind}, block int, pc1 double, pc2 double")
+    return cells.groupBy(key).applyInPandas(plane, f"{key} {kind}, block int, pc1 double, pc2 double")

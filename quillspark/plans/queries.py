@@ -87,17 +87,20 @@ def clean_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.squeeze(F.col("text")).alias("cleaned"), F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
 
 
+_SAID = " ".join([*CONTRACTIONS, *(k.upper() for k in CONTRACTIONS), *(f"'{k.capitalize()}'" for k in CONTRACTIONS), *(f"x{k}" for k in CONTRACTIONS)]) + " "
+
+
 def _expansion_sql() -> str:
     out = "decorated"
     for k, v in CONTRACTIONS.items():
         out = f"regexp_replace({out}, '\\b{k.replace(chr(39), chr(39) * 2)}\\b', '{v}', 'gi')"
-    return "WITH d AS (SELECT doc_id, 'Don''t don''t can''t ' || left(regexp_replace(text, '[^a-zA-Z ]', ' ', 'g'), 100000) || ' It''s LET''S' AS decorated FROM documents) SELECT doc_id, " + out + " AS expanded FROM d"
+    return f"WITH d AS (SELECT doc_id, {quoted([_SAID])} || text AS decorated FROM documents) SELECT doc_id, " + out + " AS expanded FROM d"
 
 
 @query(_expansion_sql())
 def contractions(spark, sf_dir):
-    text = F.concat(F.lit("Don't don't can't "), F.regexp_replace("text", "[^a-zA-Z ]", " "), F.lit(" It's LET'S"))
-    return docs(spark, sf_dir).select("doc_id", T.expand_contractions(text).alias("expanded"))
+    """Every entry in several cases, in quotes and glued to a letter, before the whole text."""
+    return docs(spark, sf_dir).select("doc_id", T.expand_contractions(F.concat(F.lit(_SAID), "text")).alias("expanded"))
 
 
 @query()
@@ -124,10 +127,11 @@ def chapters(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 150 THEN left(text, 150) || '...' ELSE text END AS preview, left(text, 1000) || '...' AS always,
-  CASE WHEN length(left(text, 25)) > 18 THEN left(text, 15) || '...' ELSE left(text, 25) END AS title, regexp_replace(left(text, 40), '[^a-zA-Z0-9]', '_', 'g') AS safe, regexp_replace(left(text, 40), '[^a-zA-Z0-9]', '', 'g') AS bare FROM documents""")
+  CASE WHEN length(name) > 18 THEN left(name, 15) || '...' ELSE name END AS title, regexp_replace(name, '[^a-zA-Z0-9]', '_', 'g') AS safe, regexp_replace(name, '[^a-zA-Z0-9]', '', 'g') AS bare
+  FROM (SELECT *, source || ' / ' || lang || ' No. ' || doc_id AS name FROM documents)""")
 def previews(spark, sf_dir):
-    t = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", T.preview(t, 150).alias("preview"), T.preview(t, 1000, True).alias("always"), T.short_title(F.substring(t, 1, 25)).alias("title"), T.safe_id(F.substring(t, 1, 40)).alias("safe"), T.safe_id(F.substring(t, 1, 40), "").alias("bare"))
+    t, name = F.col("text"), F.concat("source", F.lit(" / "), "lang", F.lit(" No. "), "doc_id")
+    return read(spark, sf_dir, "documents").select("doc_id", T.preview(t, 150).alias("preview"), T.preview(t, 1000, True).alias("always"), T.short_title(name).alias("title"), T.safe_id(name).alias("safe"), T.safe_id(name, "").alias("bare"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 18 THEN left(text, 15) || '...' ELSE text END AS title,
@@ -217,10 +221,104 @@ def brush_top3(spark, sf_dir):
     return K.brush(simpson(spark, sf_dir).select(F.col("doc_id").alias("series_id"), F.col("block").alias("idx"), "value"), 2, 20)
 
 
-@query(f"WITH {RICH}, m AS (SELECT 'simpsonIndex' AS metric, round(simpson, 6) AS value FROM rich UNION ALL SELECT 'hapaxLegomena', round(honore, 4) FROM rich) SELECT metric, min(value) AS lo, max(value) AS hi, round(min(value) * 0.95, 8) AS lo_pad, round(max(value) * 1.05, 8) AS hi_pad FROM m GROUP BY metric")
+VALUES = RICH + r""", lengths AS (SELECT doc_id, block, CASE WHEN len(regexp_extract_all(t, '[^.!?]*[\p{L}\p{N}][^.!?]*')) > 0 THEN CAST(len(regexp_extract_all(lower(t), '\p{L}+')) AS DOUBLE) / len(regexp_extract_all(t, '[^.!?]*[\p{L}\p{N}][^.!?]*')) ELSE 0.0 END AS asl FROM blocks),
+vals AS (SELECT doc_id AS series_id, 'simpsonIndex' AS metric, block AS idx, simpson AS value FROM rich UNION ALL SELECT doc_id, 'hapaxLegomena', block, honore FROM rich UNION ALL SELECT doc_id, 'sentenceLength', block, asl FROM lengths)"""
+_MEASURED = ("sentenceLength", "simpsonIndex", "hapaxLegomena")
+
+
+def values(spark, sf_dir, *metrics):
+    return K.block_metrics(docs(spark, sf_dir), SIZE, OVERLAP, "doc_id", metrics or _MEASURED)
+
+
+@query(f"WITH {VALUES} SELECT metric, round(min(value), 6) AS lo, round(max(value), 6) AS hi, round(min(value) * 0.95, 6) AS lo_pad, round(max(value) * 1.05, 6) AS hi_pad FROM vals GROUP BY metric")
 def global_range(spark, sf_dir):
-    m = simpson(spark, sf_dir).select(F.lit("simpsonIndex").alias("metric"), "value").unionByName(honore(spark, sf_dir).select(F.lit("hapaxLegomena").alias("metric"), "value"))
-    return K.global_range(m).select("metric", "lo", "hi", r("lo_pad"), r("hi_pad"))
+    return K.global_range(values(spark, sf_dir)).select("metric", r("lo", 6), r("hi", 6), r("lo_pad", 6), r("hi_pad", 6))
+
+
+@query()
+def global_range_all(spark, sf_dir):
+    """All four metrics; the function words' plane has no SQL, tests hold it against a matrix decomposition."""
+    return K.global_range(values(spark, sf_dir, *K.METRICS)).select("metric", r("lo", 6), r("hi", 6), r("lo_pad", 6), r("hi_pad", 6))
+
+
+@query(f"WITH {VALUES} SELECT series_id, idx, round(value, 6) AS value FROM vals WHERE metric = 'sentenceLength'")
+def metric_projection(spark, sf_dir):
+    return values(spark, sf_dir, "sentenceLength").select("series_id", "idx", r("value", 6))
+
+
+@query(f"WITH {VALUES}, e AS (SELECT metric, min(value) * 0.95 AS lo, max(value) * 1.05 AS hi FROM vals WHERE metric <> 'sentenceLength' GROUP BY metric) SELECT series_id, metric, idx, round(greatest(0, least(1, (value - lo) / (hi - lo))), 6) AS t FROM vals JOIN e USING (metric)")
+def colour_position(spark, sf_dir):
+    v = values(spark, sf_dir, "simpsonIndex", "hapaxLegomena")
+    ends = K.global_range(v).select("metric", "lo_pad", "hi_pad")
+    t = N.colour_position(F.col("value"), F.col("lo_pad"), F.col("hi_pad"))
+    return v.join(ends, "metric").select("series_id", "metric", "idx", F.round(t, 6).alias("t"))
+
+
+@query(f"WITH {RICH}, n AS (SELECT doc_id, count(*) AS n FROM rich GROUP BY doc_id) SELECT count(*) AS books, CAST(sum(n) AS BIGINT) AS total_blocks, max(n) AS longest, CAST(max(ceil(sqrt(n))) AS INTEGER) AS grid_rows FROM n")
+def corpus_totals(spark, sf_dir):
+    return K.totals(B.blocks(docs(spark, sf_dir), SIZE, OVERLAP).select(F.col("doc_id").alias("series_id")))
+
+
+@query("SELECT doc_id, lang, source, n_chars, text FROM documents WHERE doc_id = 7")
+def book_by_name(spark, sf_dir):
+    return K.book_by_name(read(spark, sf_dir, "documents"), 7, "doc_id").select("doc_id", "lang", "source", "n_chars", "text")
+
+
+@query("SELECT doc_id, lang, length(text) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def selected_books(spark, sf_dir):
+    chosen = K.selected_books(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
+    return chosen.select("doc_id", "lang", F.length("text").cast("long").alias("n"))
+
+
+@query("WITH s AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) SELECT doc_id FROM s WHERE doc_id <> (SELECT min(doc_id) FROM s) UNION ALL SELECT -1")
+def toggle_selection(spark, sf_dir):
+    s = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    least = s.agg(F.min("doc_id")).first()[0]
+    return K.toggle(K.toggle(s, least, "doc_id"), -1, "doc_id")
+
+
+@query("WITH m AS (SELECT min(doc_id) AS doc_id FROM documents) SELECT doc_id FROM m")
+def first_book(spark, sf_dir):
+    return K.first_book(read(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(f"WITH {RICH} SELECT doc_id, round(avg(simpson), 8) AS average FROM rich GROUP BY doc_id")
+def sorted_books(spark, sf_dir):
+    return K.sort_books(book_overview(spark, sf_dir), "average", True, "doc_id").select("doc_id", "average")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, block, doc_id = 7 AS highlight FROM blocks")
+def hover_flag(spark, sf_dir):
+    return K.hovered(B.blocks(docs(spark, sf_dir), SIZE, OVERLAP).select("doc_id", "block"), 7, "doc_id")
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, t AS block_text FROM blocks WHERE block = 3")
+def block_by_index(spark, sf_dir):
+    return B.blocks(docs(spark, sf_dir), SIZE, OVERLAP).where("block = 3").select("doc_id", "block_text")
+
+
+@query(f"WITH {WORDS} SELECT doc_id, len(ws) AS n_words FROM words WHERE len(ws) >= {SIZE}")
+def books_with_blocks(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    kept = K.nonempty(d, B.blocks(d, SIZE, OVERLAP).select(F.col("doc_id").alias("series_id"), F.col("block").alias("value")), "doc_id")
+    return kept.select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+@query(f"WITH {TOKENS}, found AS (SELECT doc_id, block, sum(n) AS n_tokens, sum(n * (n - 1)) AS pairs FROM counts GROUP BY ALL), v AS (SELECT b.doc_id, b.block, t, CASE WHEN n_tokens >= 2 THEN pairs / (CAST(n_tokens AS DOUBLE) * (n_tokens - 1)) ELSE 0.0 END AS value FROM blocks b LEFT JOIN found f ON b.doc_id = f.doc_id AND b.block = f.block WHERE b.block BETWEEN 2 AND 20), "
+       f"best AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, block) AS INTEGER) AS rank FROM v), kw AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY n DESC, first) AS k FROM counts WHERE tok NOT IN ({quoted(STOPWORDS)})), k3 AS (SELECT doc_id, block, string_agg(tok, ' ' ORDER BY k) AS keywords FROM kw WHERE k <= 3 GROUP BY ALL) "
+       "SELECT best.doc_id AS series_id, rank, best.block AS idx, round(value, 6) AS value, CASE WHEN length(t) > 1200 THEN left(t, 1200) || '...' ELSE t END AS preview, coalesce(keywords, '') AS keywords FROM best LEFT JOIN k3 ON best.doc_id = k3.doc_id AND best.block = k3.block WHERE rank <= 3")
+def brush_blocks(spark, sf_dir):
+    out = K.brush_blocks(docs(spark, sf_dir), "simpsonIndex", 2, 20, 3, SIZE, OVERLAP)
+    return out.select("series_id", "rank", "idx", r("value", 6), "preview", F.array_join("keywords", " ").alias("keywords"))
+
+
+_VOCABULARY = list(dict.fromkeys(STOPWORDS))
+
+
+@query(f"WITH {BLOCKS}, vocab AS (SELECT unnest([{quoted(_VOCABULARY)}]) AS tok, unnest(range({len(_VOCABULARY)})) AS pos), t AS (SELECT doc_id, block, unnest(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS tok FROM blocks), c AS (SELECT doc_id, block, tok, count(*) AS n FROM t GROUP BY ALL), every AS (SELECT doc_id, block, tok, pos FROM blocks, vocab) "
+       "SELECT e.doc_id, e.block, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY pos) AS vector FROM every e LEFT JOIN c ON e.doc_id = c.doc_id AND e.block = c.block AND e.tok = c.tok GROUP BY e.doc_id, e.block")
+def function_word_vectors(spark, sf_dir):
+    return L.function_word_vectors(docs(spark, sf_dir), SIZE, OVERLAP).select("doc_id", "block", F.array_join(F.col("vector").cast("array<string>"), ",").alias("vector"))
 
 
 @query(f"WITH {RICH}, m AS (SELECT doc_id, avg(simpson) AS a, count(*) AS n FROM rich GROUP BY doc_id) SELECT doc_id, round(a, 8) AS average, n AS n_blocks, CAST(ceil(sqrt(n)) AS INTEGER) AS grid_rows FROM m")
@@ -322,6 +420,12 @@ def series_similarity(spark, sf_dir):
     return C.similarity(series(spark, sf_dir)).select("series_i", "series_j", r("similarity", 7))
 
 
+@query(f"WITH {SIMILAR}, clean AS (SELECT series_i, series_j, round(CASE WHEN isnan(similarity) THEN 0.0 ELSE similarity END, 7) AS similarity FROM sim) SELECT * FROM clean UNION ALL SELECT series_j, series_i, similarity FROM clean UNION ALL SELECT DISTINCT series_id, series_id, 1.0 FROM series")
+def similarity_matrix(spark, sf_dir):
+    s = series(spark, sf_dir)
+    return C.matrix(C.similarity(s), s).select("series_i", "series_j", r("similarity", 7))
+
+
 @query(f"WITH {SIMILAR}, both_ AS (SELECT series_i AS series_id, similarity FROM sim UNION ALL SELECT series_j, similarity FROM sim), m AS (SELECT series_id, avg(similarity) AS a FROM both_ GROUP BY series_id) SELECT series_id, round(a, 7) AS mean_similarity FROM m ORDER BY round(a, 9), series_id LIMIT 1")
 def most_unique(spark, sf_dir):
     return C.most_unique(C.similarity(series(spark, sf_dir))).select("series_id", r("mean_similarity", 7))
@@ -349,13 +453,13 @@ def cluster_summary(spark, sf_dir):
     return N.cluster_summary(points(spark, sf_dir), RADIUS).select("center", "n_neighbours", "dominant", r("dominance_rate"), r("avg_metric"))
 
 
-_WORDS_OF = "k AS (SELECT vec_id AS id, unnest(['label' || label, 'even' || vec_id % 2, 'mod' || vec_id % 7]) AS word FROM embeddings)"
+_WORDS_OF = "k AS (SELECT vec_id AS id, unnest([0, 1, 2]) AS pos, unnest(['label' || label, 'even' || vec_id % 2, 'mod' || vec_id % 7]) AS word FROM embeddings)"
 
 
-@query(f"WITH {NEAR}, {_WORDS_OF}, c AS (SELECT center, word, count(*) AS count FROM near JOIN k ON k.id = neighbour GROUP BY ALL), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY center ORDER BY count DESC, word) AS INTEGER) AS rank FROM c) SELECT center, rank, word, count FROM o WHERE rank <= 5")
+@query(f"WITH {NEAR}, {_WORDS_OF}, c AS (SELECT center, word, count(*) AS count, min(neighbour * 4 + pos) AS first FROM near JOIN k ON k.id = neighbour GROUP BY center, word), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY center ORDER BY count DESC, first) AS INTEGER) AS rank FROM c) SELECT center, rank, word, count FROM o WHERE rank <= 5")
 def cluster_keywords(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    words = e.select(F.col("vec_id").alias("id"), F.explode(F.array(F.concat(F.lit("label"), "label"), F.concat(F.lit("even"), F.col("vec_id") % 2), F.concat(F.lit("mod"), F.col("vec_id") % 7))).alias("word"))
+    words = e.select(F.col("vec_id").alias("id"), F.posexplode(F.array(F.concat(F.lit("label"), "label"), F.concat(F.lit("even"), F.col("vec_id") % 2), F.concat(F.lit("mod"), F.col("vec_id") % 7))).alias("pos", "word"))
     return N.cluster_keywords(points(spark, sf_dir), words, RADIUS)
 
 

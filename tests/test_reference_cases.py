@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.words import STOPWORDS
 from quillspark.operators import blocks as B
 from quillspark.operators import compare as C
 from quillspark.operators import corpus as K
@@ -130,6 +132,51 @@ def test_comparison(series):
     assert full.count() == 49
     two = series.where("series_id IN ('up', 'down')")
     assert C.similarity(two).count() == 1 and C.most_unique(C.similarity(two)).collect() == []
+    assert C.most_similar(C.similarity(two)).collect() == []
+    best = C.most_similar(C.similarity(series)).first()
+    assert best.similarity == max(r.similarity for r in upper)
+
+
+def test_similarity_by_parts_equals_numpy(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    data = {f"s{k}": rng.normal(size=int(n)) for k, n in enumerate(rng.integers(2, 40, 11))}
+    df = spark.createDataFrame([(k, i, float(x)) for k, v in data.items() for i, x in enumerate(v)], "series_id string, idx int, value double")
+    at = {k: np.interp(np.linspace(0, len(v) - 1, C.POINTS), np.arange(len(v)), v) for k, v in data.items()}
+    got = {(r.series_i, r.series_j): r.similarity for r in C.similarity(df).collect()}
+    assert set(got) == {(i, j) for i in data for j in data if i < j}
+    assert all(x == pytest.approx(np.corrcoef(at[i], at[j])[0, 1]) for (i, j), x in got.items())
+
+
+def test_plane_and_vectors_equal_a_decomposition(spark):
+    rnd = np.random.default_rng(1)
+    words = ["the", "and", "of", "river", "to", "in", "blood", "it", "was"]
+    text = " ".join(rnd.choice(words, 300))
+    docs = spark.createDataFrame([(1, text), (2, "river blood " * 30), (3, "too short"), (4, None)], "doc_id long, text string")
+    vectors = {(r.doc_id, r.block): r.vector for r in L.function_word_vectors(docs, 20, 10).collect()}
+    vocabulary = list(dict.fromkeys(STOPWORDS))
+    cut = text.split()
+    for b in range(29):
+        assert vectors[1, b] == [cut[10 * b : 10 * b + 20].count(w) if len(w) > 1 else 0 for w in vocabulary]
+    m = np.array([vectors[1, b] for b in range(29)], float)
+    m -= m.mean(0)
+    u, d, _ = np.linalg.svd(m, full_matrices=False)
+    got = {(r.doc_id, r.block): (r.pc1, r.pc2) for r in L.pca_coordinates(docs, 20, 10).collect()}
+    assert set(got) == set(vectors) and all(got[2, b] == (0, 0) for b in range(5))
+    mine = np.array([got[1, b] for b in range(29)])
+    assert np.allclose(np.abs(mine), np.abs((u * d)[:, :2]))
+
+
+def test_selections(spark):
+    three = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "book string")
+    names = lambda df: sorted(r.book for r in df.collect())
+    assert names(K.toggle(three, "b")) == ["a", "c"] and names(K.toggle(three, "d")) == ["a", "b", "c", "d"]
+    assert names(K.toggle(three.where("book = 'a'"), "a")) == ["a"] and names(K.toggle(three.limit(0), "a")) == ["a"]
+    assert names(K.book_by_name(three, "b")) == ["b", "b"] and names(K.book_by_name(three, "x")) == [] and names(K.first_book(three)) == ["a"]
+    assert names(K.selected_books(three, three.where("book <> 'a'"))) == ["b", "b", "c"]
+    assert [r.book for r in K.sort_books(three.distinct().withColumn("n", F.length("book")), "n").collect()] == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="no metrics"):
+        K.block_metrics(three, metrics=("pages",))
 
 
 def test_report(series):

@@ -1,3 +1,7 @@
+import json
+
+import pytest
+
 from quillspark.sources import files as S
 from quillspark.streaming.uploads import follow
 
@@ -35,3 +39,37 @@ def test_stream_upserts(spark, tmp_path):
     write(tmp_path / "in" / "two.txt", "second")
     follow(spark, inbox, corpus, check).awaitTermination()
     assert sorted((r.book, r.text) for r in spark.read.parquet(corpus).collect()) == [("one", "first text"), ("two", "second")]
+
+
+def test_missing_paths_are_left_out_and_the_last_argument_wins(spark, tmp_path):
+    for folder, text in (("z", "first"), ("a", "last")):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder / "one.txt", text)
+    paths = [str(tmp_path / "z" / "one.txt"), str(tmp_path / "nowhere.txt"), str(tmp_path / "a" / "one.txt")]
+    with pytest.warns(UserWarning, match="nowhere"):
+        assert [tuple(r) for r in S.read_books(spark, *paths).collect()] == [("one", "last")]
+    with pytest.warns(UserWarning):
+        assert S.read_books(spark, paths[1]).collect() == []
+
+
+def test_corpus_of_one_indented_object(spark, tmp_path):
+    books = {"A": {"n": 1, "v": [1.5]}, "B": {"n": 2, "v": []}}
+    for k, indent in enumerate((None, 2)):
+        write(tmp_path / f"{k}.json", json.dumps(books, indent=indent))
+        rows = S.read_corpus(spark, str(tmp_path / f"{k}.json"), "struct<n int, v array<double>>").select("book", "fingerprint.*").collect()
+        assert sorted((r.book, r.n, r.v) for r in rows) == [("A", 1, [1.5]), ("B", 2, [])]
+    write(tmp_path / "bad.json", "{not json")
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        S.read_corpus(spark, str(tmp_path / "bad.json"), "struct<n int>").collect()
+
+
+def test_corpus_is_built_once(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.createDataFrame([("a", 1)], "doc_id string, n int")
+
+    for _ in range(2):
+        assert [(r.book, r.n) for r in S.ensure_corpus(spark, str(tmp_path / "c"), "struct<n int>", build).select("book", "fingerprint.*").collect()] == [("a", 1)]
+    assert built == [1]

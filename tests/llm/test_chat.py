@@ -1,3 +1,4 @@
+from quillspark.llm import chat
 from quillspark.llm.chat import PART, rotate
 
 SCHEMA = "conv_id long, turn long, role string, text string, part string"
@@ -26,3 +27,15 @@ def test_edges(spark):
     a, b = map(int, got[2, "b", 0].mask.split(":"))
     assert got[2, "b", 0].text[a:b] == long + "<|im_end|>"
     assert rows(spark, [(None, 0, "a", "x")]) == {}
+
+
+def test_parts_join_to_the_whole_dialogue(spark, monkeypatch):
+    data = [(1, t, ["ann", "bob", "c\nd", "system"][t % 4], f"say {t}" * (t % 5)) for t in range(23)]
+    whole = rows(spark, data)
+    monkeypatch.setattr(chat, "PART", 3)
+    parts = rows(spark, data)
+    for who in ("ann", "bob", "c\nd"):
+        mine = [parts[1, who, k] for k in range(8)]
+        assert "".join(r.text for r in mine) == whole[1, who, 0].text and ",".join(r.mask for r in mine if r.mask) == whole[1, who, 0].mask
+        assert [r.offset for r in mine] == [sum(len(x.text) for x in mine[:k]) for k in range(8)]
+    assert "name=c d\n" in whole[1, "ann", 0].text

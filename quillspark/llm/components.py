@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import apart, stage
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -14,7 +14,7 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     so a node with very many neighbours is one row a task there."""
     near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else edges
     least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-    joined = near.join(least, "a")
+    joined = near.join(apart(least, "a"), "a")
     if both:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import WHITE, batch_bytes, byte_set, mix, prefix_hash, signed, slices, spans
-from .store import columns, stage, table, text_key, unused
+from .store import apart, columns, stage, table, text_key, unused
 
 #: Words of the shortest run that is deleted, where no other number is given.
 LEAST = 50
@@ -117,11 +117,11 @@ def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     # Grams that stand in two places; equal rows are one document. Counted before the shuffle.
     place = F.struct("doc_id", "_row", "at")
     twice = found.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("gram")
-    runs = found.join(twice, "gram").select("doc_id", "_row", F.explode(F.arrays_zip("run", "first", "last")).alias("r")).select("doc_id", "_row", "r.run", "r.first", "r.last")
+    runs = found.join(apart(twice, "gram"), "gram").select("doc_id", "_row", F.explode(F.arrays_zip("run", "first", "last")).alias("r")).select("doc_id", "_row", "r.run", "r.first", "r.last")
     runs = stage(runs, "runs")
     here = F.struct("doc_id", "first", "_row")
     earliest = runs.groupBy("run").agg(F.min(here).alias("original"), F.max(here).alias("latest")).where("original <> latest").select("run", "original")
-    later = runs.join(earliest, "run").where(here > F.col("original")).select("doc_id", "_row", "first", "last").distinct()
+    later = runs.join(apart(earliest, "run"), "run").where(here > F.col("original")).select("doc_id", "_row", "first", "last").distinct()
     return later.groupBy("doc_id", "_row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cuts"))
 
 

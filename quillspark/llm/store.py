@@ -61,3 +61,10 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def columns(names: list[str]) -> list["F.Column"]:
     """Columns by their plain names, dots and blanks included."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, with long ``keys`` as new values. What comes out of an aggregation or a join lies
+    by its key already and would be joined or grouped there in the same stage, where a hot key can't be
+    split; new values get a shuffle of their own, and the join's larger side can be."""
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})

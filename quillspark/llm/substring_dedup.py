@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import batch_bytes, mix, prefix_hash, signed, slices
-from .store import stage, table, text_key
+from .store import apart, stage, table, text_key
 
 LENGTH, ANCHOR = 400, 300
 #: Different contexts of one group up to which one index takes them; more are split by intervals of
@@ -270,9 +270,9 @@ def repeated(contexts: DataFrame) -> DataFrame:
     """``(grp, sub, x, y)``: of contexts ``(grp, sub, lead, context)``, all different within a group, the
     window starts x to y that are repeated in their group; a window may be told twice."""
     sizes = contexts.groupBy("grp").agg(F.count("*").alias("kinds"))
-    fit = contexts.join(sizes.where(F.col("kinds").between(2, PART)), "grp", "left_semi")
+    fit = contexts.join(apart(sizes.where(F.col("kinds").between(2, PART)), "grp"), "grp", "left_semi")
     found = [fit.repartition("grp").sortWithinPartitions("grp").mapInArrow(_index, "grp long, sub long, x long, y long")]
-    chain, left = [], contexts.join(sizes.where(F.col("kinds") > PART), "grp", "left_semi")
+    chain, left = [], contexts.join(apart(sizes.where(F.col("kinds") > PART), "grp"), "grp", "left_semi")
     for width in INTERVALS:
         left = stage(left, "wide")
         if left.isEmpty():
@@ -284,9 +284,9 @@ def repeated(contexts: DataFrame) -> DataFrame:
         sizes = one.groupBy("grp").agg(F.count("*").alias("kinds"))
         told = one.where("n > 1").select("grp", "sub", F.lit(0).cast("long").alias("x"), F.col("span").cast("long").alias("y"))
         if width > 1:
-            fit = one.join(sizes.where(F.col("kinds").between(2, PART)), "grp", "left_semi")
+            fit = one.join(apart(sizes.where(F.col("kinds").between(2, PART)), "grp"), "grp", "left_semi")
             told = told.unionByName(fit.select("grp", "sub", "context").repartition("grp").sortWithinPartitions("grp").mapInArrow(_index, "grp long, sub long, x long, y long"))
-            left = one.join(sizes.where(F.col("kinds") > PART), "grp", "left_semi")
+            left = one.join(apart(sizes.where(F.col("kinds") > PART), "grp"), "grp", "left_semi")
         chain.append(cut.select("up", "up_sub", "grp", "sub", "shift"))
         found.append(told)
     # Back from stretches to the contexts they were cut of, level by level.
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # in two independent 64-bit hashes, the anchor's and the context's own.
     kinds = stage(shared.groupBy("anchor", "whole").agg(F.sum(F.size("first")).alias("n"), F.min(F.struct("doc_id", "_row", F.element_at("first", 1).alias("first"), "span", "lead")).alias("at")), "kinds")
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    wanted = kinds.join(mixed, "anchor").groupBy("at.doc_id", "at._row").agg(F.collect_list(F.struct("whole", "anchor", "at.first", "at.span", "at.lead")).alias("wanted"))
+    wanted = kinds.join(apart(mixed, "anchor"), "anchor").groupBy("at.doc_id", "at._row").agg(F.collect_list(F.struct("whole", "anchor", "at.first", "at.span", "at.lead")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "wanted")
     cut = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select("text", "wanted")
     contexts = stage(cut.mapInArrow(_contexts, CONTEXTS), "contexts")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import mix, shingle_sets, signed, slices
-from .store import stage, table, text_key, unused
+from .store import apart, columns, stage, table, text_key, unused
 
 U = np.uint64
 #: Members of a block up to which one tree holds it; larger ones are dealt out in parts.
@@ -31,6 +31,8 @@ BLOCK = 2048
 ROUNDS, SHARE_OF_BLOCKS = 2, 4
 #: Points of a leaf; coordinates of a point at most (groups beyond are folded together).
 LEAF, COORDINATES = 32, 1024
+#: Least keys of a node that tell whether a pair stands in an earlier block.
+EARLIER = 8
 #: Partners of one text that one task verifies.
 PARTNERS = 256
 #: Set hashes that a worker remembers, to describe equal sets once.
@@ -250,6 +252,16 @@ def single_leaves(block: np.ndarray, points: np.ndarray, n: np.ndarray, comp: np
     return i[keep], j[keep]
 
 
+def told_earlier(key: int, first: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of pairs in the block ``key``: whether the nodes' least keys (``first``) show a lesser block that
+    holds both and tells the pair there. In the least block of all that hold both, none does."""
+    out = np.zeros(len(x), bool)
+    for k in range(0, len(x), 4096):
+        p, q = first[x[k : k + 4096]], first[y[k : k + 4096]]
+        out[k : k + 4096] = ((p[:, :, None] == q[:, None, :]) & (p < key)[:, :, None]).any((1, 2))
+    return out
+
+
 #: Rows of blocks that are joined together, about.
 ROWS_AT_ONCE = 1 << 13
 
@@ -262,6 +274,10 @@ def _block_pairs(spanning: bool):
         i, j, key = (t.column(c).to_numpy() for c in ("i", "j", "key"))
         counts = t.column("counts").to_pylist()
         points = np.frombuffer(b"".join(counts), np.uint8).reshape(len(counts), -1)
+        first = np.full((len(key), EARLIER), np.iinfo(np.int64).max)
+        for k, f in enumerate(t.column("earlier").to_pylist()):
+            if f:
+                first[k, : len(f)] = f
         edge = np.append(np.append(0, np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1), len(key))
         size = np.diff(edge)
         small = np.repeat(size <= LEAF, size) & (i == j)
@@ -272,6 +288,9 @@ def _block_pairs(spanning: bool):
             if not small[x]:
                 tree = Tree(points[x:y], n[x:y], comp[x:y], part[x:y] if i[x] != j[x] else np.zeros(y - x, np.int64))
                 a, b = tree.span() if spanning else tree.join()
+                if not spanning:
+                    new = ~told_earlier(key[x], first[x:y], a, b)
+                    a, b = a[new], b[new]
                 left.append(node[x:y][a])
                 right.append(node[x:y][b])
         a, b = np.concatenate(left), np.concatenate(right)
@@ -342,6 +361,7 @@ def _dealt(known: DataFrame, points: DataFrame, spanning: bool) -> DataFrame:
     needs no pairs, so a group of copies costs its size times the number of strangers, by parts."""
     of_comp = known.groupBy("key", "comp").agg(F.count("*").alias("m"))
     most = of_comp.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("all"), F.count("*").alias("comps")).where("comps > 1").select("key", "most", "all")
+    most = apart(most, "key")
     rows = known.join(most, "key")
     parts = lambda x: F.ceil(x / BLOCK).cast("int")
     dice = F.xxhash64("node", "key")
@@ -354,7 +374,9 @@ def _dealt(known: DataFrame, points: DataFrame, spanning: bool) -> DataFrame:
         rows = rows.withColumn("part", F.when(F.col("whole"), F.lit(0)).when(F.col("major"), F.pmod(dice, F.col("pm"))).otherwise(F.col("pm") + F.pmod(dice, F.col("po"))).cast("int"))
         others = F.when(F.col("whole"), F.array(F.lit(0))).when(F.col("major"), F.sequence(F.col("pm"), F.col("pm") + F.col("po") - 1)).otherwise(F.sequence(F.lit(0), F.col("pm") + F.col("po") - 1))
         rows = rows.withColumn("other", F.explode(others)).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    rows = rows.join(points, ["node", "cls"]).select("cls", "key", "i", "j", "part", "node", "n", "comp", "counts")
+    # A pair of the larger blocks is told in one of them, as far as a few of its nodes' keys show.
+    earlier = known.where(F.lit(not spanning) & (F.col("c") > LEAF)).join(most, "key", "left_semi").groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, EARLIER).alias("earlier"))
+    rows = rows.join(points, ["node", "cls"]).join(earlier, "node", "left").select("cls", "key", "i", "j", "part", "node", "n", "comp", "counts", "earlier")
     return rows.repartition("key", "i", "j").sortWithinPartitions("cls", "key", "i", "j")
 
 
@@ -377,7 +399,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # many rows can be split, so a hot block is never gathered.
     rows = described.where("cls >= 0").select(F.explode("keys").alias("key"), "node", "cls")
     two = rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    shared = stage(rows.join(two, "key", "left_semi").distinct(), "shared")
+    shared = stage(apart(rows.join(apart(two, "key"), "key", "left_semi"), "key").distinct(), "shared")
     # Blocks of equal members are one block.
     alike = shared.groupBy("key", "cls").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     kept = alike.groupBy("cls", "c", "x", "y").agg(F.min("key").alias("key")).select("key", "cls", "c")
@@ -424,8 +446,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     key, d, r = unused(docs, "key", "d", "r")
     found = jaccard_components(docs).where("component_id = doc_id OR doc_id IS NULL").select(F.col("doc_id").alias(d), F.col("_row").alias(r)).distinct()
     kept = docs.withColumn(key, text_key()).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(key) == F.col(r)), "left_semi")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    one = kept.groupBy("doc_id", key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(d))
+    own = columns(docs.columns)
+    one = kept.groupBy("doc_id", key).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias(d))
     return one.select(f"{d}.*")
 
 

@@ -58,54 +58,80 @@ def _run_hashes(hashed: np.ndarray):
     return lambda a, b: mix((total[b + 1] - total[a]) * back[a] + (b - a + 1).astype(np.uint64), 32)
 
 
-def winnow(hashed: np.ndarray, words: np.ndarray, least: int = LEAST) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
-    """The selected grams of one text: (gram hash, line, runs), a run being (hash, first, last
-    line) of a least run of ``least`` words, from its first line on or from its last line back,
-    that contains the gram."""
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers low to high (left out) of each pair in a row, and whose they are."""
+    many = np.maximum(high - low, 0)
+    owner = np.repeat(np.arange(len(low)), many)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + low[owner], owner
+
+
+def _least_in(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Place of the leftmost least value of each stretch low to high (included), by a table of the
+    minima of stretches of 1, 2, 4, ... values."""
+    out, size = np.empty(len(low), np.int64), high - low + 1
+    at, width = np.arange(len(x)), 1
+    while len(low):
+        some = np.flatnonzero((size >= width) & (size < 2 * width))
+        p, q = at[low[some]], at[high[some] - width + 1]
+        out[some] = np.where(x[q] < x[p], q, p)
+        if not (size >= 2 * width).any():
+            break
+        p, q = at[:-width], at[width:]
+        at = np.append(np.where(x[q] < x[p], q, p), at[len(at) - width :])
+        width *= 2
+    return out
+
+
+def winnow(hashed: np.ndarray, words: np.ndarray, first: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """The selected grams of a batch of texts (``first``: their first lines): number of the text, line in
+    the text and hash of each gram, and of each gram's runs, in a row, how many there are, and their
+    hashes, first and last lines: the least runs of ``least`` words, from their first line on or
+    from their last line back, that contain the gram."""
     n, gram = len(hashed), max(1, least // 2)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    begin, end = first[:-1][text], first[1:][text]
     total = np.concatenate(([0], np.cumsum(words)))
-    if total[-1] < least:
-        return []
     run = _run_hashes(hashed)
-    line = np.arange(n)
     reach = np.searchsorted(total, total[:-1] + gram) - 1  # last line of the gram from each line
     whole = np.searchsorted(total, total[:-1] + least) - 1
-    starts = line[reach < n]
-    grams = run(starts, reach[starts])
-    chosen: set[int] = set()
-    for i in range(len(starts)):
-        if whole[i] >= n:
-            break
-        last = min(int(reach[i]), len(starts) - 1)
-        chosen.add(i + int(np.argmin(grams[i : last + 1])) if last > i else i)
-    out = []
-    for s in sorted(chosen):
-        g = int(reach[s])
-        # Extended to the left up to least words, then no further to the right than needed; and
-        # the other way about, so that the last lines of a longer run are in one of these, too.
-        a = np.arange(s, int(np.searchsorted(total, total[s] - least, "right")) - 1, -1)
-        a = a[(a >= 0) & (whole[a] >= g) & (whole[a] < n)]
-        d = np.arange(g, min(n, int(np.searchsorted(total, total[g + 1] + least)) + 1))
-        c = np.searchsorted(total, total[d + 1] - least, "right") - 1
-        c, d = np.minimum(c, s)[(c >= 0) & ((c <= s) | (d == g))], d[(c >= 0) & ((c <= s) | (d == g))]
-        pairs = np.unique(np.concatenate((a, c)) * n + np.concatenate((whole[a], d)))
-        a, b = pairs // n, pairs % n
-        if len(a):
-            out.append((int(signed(grams[s : s + 1])[0]), s, list(zip(signed(run(a, b)).tolist(), a.tolist(), b.tolist()))))
-    return out
+    has = reach < end
+    grams = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    grams[has] = run(np.flatnonzero(has), reach[has])
+    starts = first[:-1] + np.bincount(text[has], minlength=len(first) - 1)  # lines from here on start no gram
+    i = np.flatnonzero(whole < end)
+    s = np.unique(_least_in(grams, i, np.minimum(reach[i], starts[text[i]] - 1)))
+    g = reach[s]
+    # Extended to the left up to least words, then no further to the right than needed; and the other
+    # way about, so that the last lines of a longer run are in one of these, too.
+    a, of_a = _spread(np.maximum(begin[s], np.searchsorted(total, total[s] - least, "right")), s + 1)
+    ok = (whole[a] >= g[of_a]) & (whole[a] < end[s][of_a])
+    a, of_a = a[ok], of_a[ok]
+    d, of_d = _spread(g, np.minimum(end[s], np.searchsorted(total, total[g + 1] + least) + 1))
+    c = np.searchsorted(total, total[d + 1] - least, "right") - 1
+    ok = (c >= begin[s][of_d]) & ((c <= s[of_d]) | (d == g[of_d]))
+    c, d, of_d = np.minimum(c, s[of_d])[ok], d[ok], of_d[ok]
+    left, right, owner = np.concatenate((a, c)), np.concatenate((whole[a], d)), np.concatenate((of_a, of_d))
+    order = np.lexsort((right, left, owner))
+    left, right, owner = left[order], right[order], owner[order]
+    new = np.append(True, (np.diff(owner) != 0) | (np.diff(left) != 0) | (np.diff(right) != 0)) if len(order) else np.zeros(0, bool)
+    left, right, owner = left[new], right[new], owner[new]
+    many = np.bincount(owner, minlength=len(s))
+    kept = many > 0
+    s, many = s[kept], many[kept]
+    base = begin[left] if len(left) else left
+    return text[s], s - begin[s], signed(grams[s]), many, signed(run(left, right)), left - base, right - base
 
 
 def _grams(least):
     def run(batches):
         for part in slices(batches, "text"):
-            hashed, words, first = line_table(part.column("text"))
-            rows = [(d, r, g, at, [h for h, _, _ in runs], [a for _, a, _ in runs], [b for _, _, b in runs])
-                    for d, r, x, y in zip(part.column("doc_id").to_pylist(), part.column("_row").to_pylist(), first[:-1], first[1:])
-                    for g, at, runs in winnow(hashed[x:y], words[x:y], least)]
-            if rows:
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in c[4:])],
-                                                 ["doc_id", "_row", "gram", "at", "run", "first", "last"])
+            text, at, gram, many, runs, a, b = winnow(*line_table(part.column("text")), least)
+            if not len(text):
+                continue
+            ids = part.select(["doc_id", "_row"]).take(pa.array(text))
+            off = pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(gram), pa.array(at), *(pa.ListArray.from_arrays(off, pa.array(x.astype(np.int64))) for x in (runs, a, b))],
+                                             ["doc_id", "_row", "gram", "at", "run", "first", "last"])
     return run
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +69,8 @@ class WordBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        named = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.text = [named.get(i, "") for i in range(max(named) + 1)]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
         late = pattern.replace(r"[\p{L}]", rf"[\p{{L}}--{_class}]").replace("|[\\p{N}]|", rf"|[\p{{N}}--{_class}]|").replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{_class}]")
@@ -79,7 +79,7 @@ class WordBpe:
         self.table = byte_alphabet()
         self.pair_ok: dict[int, bool] = {}
         self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.old: dict[str, bytes] = {}
         self._tables()
         self.counts = {"words": 0, "merged": 0}
 
@@ -247,18 +247,17 @@ class WordBpe:
         found = {}
         if redo:
             ids2, owner2 = self.merge(*self.flat(redo), np.ones(len(redo), bool))
-            cut2, ids2 = np.searchsorted(owner2, np.arange(len(redo) + 1)).tolist(), ids2.tolist()
-            found = {s: ids2[cut2[k] : cut2[k + 1]] for k, s in enumerate(redo)}
-        cut, ids = np.searchsorted(owner, np.arange(len(words) + 1)).tolist(), ids.tolist()
-        text, new = self.text, self.new
+            cut2, raw2 = (4 * np.searchsorted(owner2, np.arange(len(redo) + 1))).tolist(), ids2.astype("<u4").tobytes()
+            found = {s: raw2[cut2[k] : cut2[k + 1]] for k, s in enumerate(redo)}
+        cut, raw = (4 * np.searchsorted(owner, np.arange(len(words) + 1))).tolist(), ids.astype("<u4").tobytes()
+        new = self.new
         for k, (w, bad) in enumerate(zip(words, fails.tolist())):
-            got = ids[cut[k] : cut[k + 1]] if not bad else found.get(strings[k]) or self.merge_long(strings[k])
-            new[w] = (got, " ".join([text[i] for i in got]))
+            new[w] = raw[cut[k] : cut[k + 1]] if not bad else found.get(strings[k]) or np.array(self.merge_long(strings[k]), "<u4").tobytes()
         self.counts["words"] += len(words)
         self.counts["merged"] += int(np.count_nonzero(fails))
 
-    def encode_many(self, texts: list[str | None]) -> list[tuple[np.ndarray, str]]:
-        """For each text (null: empty) its ids and what decoding them gives."""
+    def encode_many(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+        """For each text (null: empty) its ids, 4 bytes each, and what decoding them gives."""
         parts = []
         for text in texts:
             parts.append([])
@@ -276,19 +275,16 @@ class WordBpe:
         again = {w: old[w] for w in missing if w in old}
         new.update(again)
         self.learn(list(missing - again.keys()))
-        out = []
+        out, text = [], self.text
         for pieces in parts:
-            ids: list[int] = []
-            said: list[str] = []
+            ids: list[bytes] = []
             for p in pieces:
                 if isinstance(p, str):
-                    ids.append(self.special[p])
-                    said.append(p)
-                elif p:
-                    got = list(map(new.__getitem__, p))
-                    ids.extend(chain.from_iterable([g[0] for g in got]))
-                    said.append(" ".join([g[1] for g in got]))
-            out.append((np.array(ids, "<u4"), " ".join(said)))
+                    ids.append(self.special[p].to_bytes(4, "little"))
+                else:
+                    ids.extend(map(new.__getitem__, p))
+            raw = b"".join(ids)
+            out.append((raw, " ".join([text[i] for i in np.frombuffer(raw, "<u4").tolist()])))
         return out
 
 
@@ -325,7 +321,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
         for part in slices(batches, own, 1 << 20):
             got = bpe.encode_many(part.column(own).to_pylist())
             out = [part.column(k) for k in keep]
-            out += [pa.array([len(i) for i, _ in got], pa.int64()), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())]
+            out += [pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())]
             yield pa.RecordBatch.from_arrays(out, names)
 
     return docs.select(*columns(keep), F.col(text).alias(own)).mapInArrow(run, schema)

@@ -6,13 +6,14 @@ trained on these by gradient ascent of its exact log-likelihood; forward-backwar
 token's probability, whose aggregates a logistic layer, fitted on the same training rows, turns
 into the document score. Offsets of tokens over one half are the offending spans.
 
-Training is on the driver over a bounded sample of labelled rows (``SAMPLE`` of each label, those of
+Training is one task's work over a bounded sample of labelled rows (``SAMPLE`` of each label, those of
 least hash, as far as their texts fit ``SAMPLE_BYTES``); the model is the weights of their words,
 broadcast with the task. A text is one chain, in training and scoring, however long.
 """
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -169,11 +170,22 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _all_tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and first tokens of many texts, made a few at a time."""
+    parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    for part in slices([batch], "text"):
+        w, _, _, first, _ = tokens(part.column("text"))
+        parts.append(w)
+        sizes.append(np.diff(first))
+    return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+
+
 def train(texts: list[str | None], toxic: list[int], rounds: int = 20) -> Model:
     """Fit the CRF and the document layer. With one label only, or no rows, the score is that
     label's smoothed share everywhere."""
     y = np.array(toxic, float)
-    w, _, _, first, _ = tokens(pa.array(texts, pa.large_string()))
+    w, first = _all_tokens(texts)
     doc = np.repeat(np.arange(len(y)), np.diff(first))
     prior = (y.sum() + 0.5) / (len(y) + 1)
     empty = Model(np.zeros(0, np.uint64), np.zeros(1), np.zeros((2, 2)), np.array([0.0, -30.0]), np.array([np.log(prior / (1 - prior)), 0, 0, 0, 0]))
@@ -188,7 +200,10 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 20) -> Model:
     # as often at most as it has different left neighbours there.
     left = np.where(np.isin(np.arange(len(w)), first[:-1]), U(0), np.roll(w, 1))
     in_toxic = y[doc] > 0
-    pairs = np.unique(np.stack((at[in_toxic].astype(np.uint64), left[in_toxic])), axis=1)[0].astype(np.int64)
+    pairs, left = at[in_toxic].astype(np.int64), left[in_toxic]
+    order = np.lexsort((left, pairs))
+    pairs, left = pairs[order], left[order]
+    pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]) | (left[1:] != left[:-1]))]
     tox = np.minimum(tox, np.bincount(pairs, minlength=len(vocab)))
     n1, n0 = y.sum(), len(y) - y.sum()
     odds = np.log((tox + 0.3) / (n1 + 0.6)) - np.log((df - tox + 0.3) / (n0 + 0.6))
@@ -239,8 +254,29 @@ def apply(model: Model, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]
     return score, out
 
 
+FIELDS = ("words", "emission", "transition", "start", "layer")
+
+
+def packed(model: Model) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **{f: getattr(model, f) for f in FIELDS})
+    return out.getvalue()
+
+
+def unpacked(data: bytes) -> Model:
+    with np.load(io.BytesIO(data), allow_pickle=False) as arrays:
+        return Model(*(arrays[f] for f in FIELDS))
+
+
+def _trained(batches):
+    rows = [b for b in batches if b.num_rows]
+    if rows:
+        t = pa.Table.from_batches(rows).sort_by("doc_id")
+        yield pa.RecordBatch.from_arrays([pa.array([packed(train(t.column("text").to_pylist(), t.column("toxic").to_pylist()))], pa.binary())], ["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on labelled rows whose crc32(doc_id) mod 3 is not 1: at most ``sample`` of each label,
+    """Train, in one task, on labelled rows whose crc32(doc_id) mod 3 is not 1: at most ``sample`` of each label,
     those of least hash of doc_id, so the choice is the same on every run and cluster, and of these
     as many as have ``SAMPLE_BYTES`` of text. Rows with a null label are not used; of rows that
     repeat a doc_id, one label (the larger) and one text (the smallest) count."""
@@ -253,8 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     # 2 * sample ids: the bounded side is broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = rows.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id")
-    return train([t if isinstance(t, str) else None for t in rows["text"]], rows["toxic"].tolist())
+    rows = rows.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
+    found = rows.mapInArrow(_trained, "model binary").collect()
+    return unpacked(found[0].model) if found else train([], [])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "spans")) -> DataFrame:

@@ -91,11 +91,12 @@ def test_scores_keep_clashing_columns(spark):
 def test_sample_is_bounded_by_bytes(spark, monkeypatch):
     texts, labels = corpus(100)
     docs, rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "train", lambda t, y: seen.append(sum(map(len, t))))
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2000)
-    fit(docs, rows)
-    assert 0 < seen[0] <= 2000
+    every, few = fit(docs, rows), None
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 15000)
+    few = fit(docs, rows)
+    assert 0 < len(few.words) < len(every.words)
+    back = toxicity.unpacked(toxicity.packed(every))
+    assert all(np.array_equal(getattr(back, f), getattr(every, f)) for f in toxicity.FIELDS)
 
 
 def test_every_chain_is_trained_on(monkeypatch):

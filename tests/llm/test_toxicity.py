@@ -92,7 +92,7 @@ def test_sample_is_bounded_by_bytes(spark, monkeypatch):
     texts, labels = corpus(100)
     docs, rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
     every, few = fit(docs, rows), None
-    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 15000)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 9000)
     few = fit(docs, rows)
     assert 0 < len(few.words) < len(every.words)
     back = toxicity.unpacked(toxicity.packed(every))

@@ -335,9 +335,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     share = rows.withColumn("share", F.pmod(F.xxhash64("doc_id", "_row"), F.lit(SHARES)))
     within = "OVER (PARTITION BY anchor, share)"
     counted = share.selectExpr("*", f"sum(size(first)) {within} AS c", "row_number() OVER (PARTITION BY anchor, share ORDER BY whole) AS k").drop("share")
-    firsts = counted.where("k = 1").selectExpr("*", "sum(c) OVER (PARTITION BY anchor) AS total").where("total > 1")
-    narrow = ["doc_id", "_row", "anchor", "whole", "span", "lead", "first"]
-    shared = stage(counted.where("k > 1").select(*narrow).unionByName(firsts.select(*narrow)), "shared")
+    # Rows that follow in their share stand twice for sure; they are only dealt out.
+    key = F.when(F.col("k") == 1, F.col("anchor")).otherwise(F.xxhash64("doc_id", "_row", "whole", "k"))
+    met = counted.withColumn("key", key).selectExpr("*", "sum(c) OVER (PARTITION BY key) AS total").where("k > 1 OR total > 1")
+    shared = stage(met.select("doc_id", "_row", "anchor", "whole", "span", "lead", "first"), "shared")
     # Equal contexts once, with their number; counts are combined before the shuffle. They are equal
     # in two independent 64-bit hashes, the anchor's and the context's own.
     kinds = stage(shared.groupBy("anchor", "whole").agg(F.sum(F.size("first")).alias("n"), F.min(F.struct("doc_id", "_row", F.element_at("first", 1).alias("first"), "span", "lead")).alias("at")), "kinds")

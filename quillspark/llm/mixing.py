@@ -1,6 +1,6 @@
 """Soft-membership mixing to target token weights (operator 8, native).
 
-A classifier learned from the labelled table gives each document a posterior over domains: its words and
+A classifier learned from (a bounded sample of) the labelled table gives each document a posterior over domains: its words and
 their endings are hashed into buckets, each with its log-likelihood ratio by document counts; the mean
 ratio over a document's buckets and its size are codes of a naive Bayes layer, counted on the labelled
 table, too, so that posteriors stay graded however long a text is. Projected gradient steps then fit nonnegative document rates so that the
@@ -30,6 +30,8 @@ PULL = 1e-8
 TOLERANCE, UNMET = 1e-9, 1e-6
 
 
+#: Labelled rows of each domain (those of least hash) that word ratios are learned from, at most.
+SAMPLE = 10_000
 #: Hash buckets of words, and of words' endings of ENDING characters; both are parameters of the model.
 BUCKETS, ENDING = 2048, 2
 #: A mean ratio times SCALE, from -HALF to HALF, is a code; so is the binary logarithm of a text's size.
@@ -58,15 +60,20 @@ def domains(labels: DataFrame) -> DataFrame:
 def described(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, _row, tokens, f_...)``: tokens of a text (blanks and line breaks plus one, 0 without
     other characters) and the codes of the classifier. A null text counts as empty. Ratios are
-    learned from all labelled documents; the two counts a bucket and domain that reach the driver
-    are bounded by the buckets."""
+    learned from ``SAMPLE`` labelled rows of each domain, so that no text is shuffled for them; the
+    counts of buckets and domains that reach the driver are bounded by both."""
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text)
     count = lambda what: size - F.octet_length(F.replace(text, F.lit(what), F.lit("")))
     bare = F.octet_length(F.trim(text)) == 0
     tokens = F.when(bare, F.lit(0)).otherwise(count(" ") + count("\n") + 1).cast("long")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = own.join(domains(labels), F.col("doc_id") == F.col("_d")).select("domain", buckets(text).alias("b"))
+    chosen = None
+    for i in range(len(DOMAINS)):  # a top-k by hash each, not a sort of all rows
+        part = domains(labels).where(F.col("domain") == i).orderBy(F.xxhash64("_d"), "_d").limit(SAMPLE)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    # As many ids as SAMPLE allows: the bounded side is broadcast.
+    seen = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).select("domain", buckets(text).alias("b"))
     per = seen.select("domain", F.explode(F.concat("b", F.array(F.lit(-1)))).alias("b")).groupBy("domain", "b").count().collect()
     df = {(r.domain, r.b): r["count"] for r in per}
     n = [df.get((i, -1), 0) for i in range(len(DOMAINS))]

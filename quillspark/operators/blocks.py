@@ -32,10 +32,11 @@ def blocks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str =
 
 def token_panes(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text", tokens=T.tokens, only: list[str] | None = None) -> DataFrame:
     """``(key, block, tok, n, first)``: how often a token stands in a block, and its first place.
-    ``tokens``: what a word's tokens are; ``only``: the tokens that count, all by default.
+    ``tokens``: what a text's tokens are; ``only``: the tokens that count, all by default.
 
-    Where the step divides the size, every word is tokenised once, counted by step-wide pane, and
-    the panes' counts are given to the size/step blocks that contain them; else block by block.
+    Where the step divides the size, the words of every step-wide pane are tokenised and counted once,
+    and the panes' counts are given to the size/step blocks that contain them; else block by block.
+    ``tokens`` never hold white space, so that a pane's are those of its words.
     Texts are dealt out by document once; all further grouping happens where they lie.
     """
     step = check(size, overlap)
@@ -44,10 +45,12 @@ def token_panes(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key:
     # Partial counts by pane, then sums by block, both within the partitioning by document.
     many = size // step
     if size % step == 0:
-        word = dealt.select(key, F.size("_w").alias("_n"), F.posexplode("_w").alias("_p", "_word"))
-        tok = word.select(key, F.floor((F.col("_n") - size) / step).cast("int").alias("_last"), F.floor(F.col("_p") / step).cast("int").alias("pane"), F.col("_p").alias("_p"), F.posexplode(tokens(F.col("_word"))).alias("_k", "tok")).where(wanted)
-        panes = tok.groupBy(key, "_last", "pane", "tok").agg(F.count("*").alias("n"), F.min(F.col("_p").cast("long") * (1 << 20) + F.col("_k")).alias("first"))
-        spread = panes.where(F.col("pane") - (many - 1) <= F.col("_last")).select(key, "tok", "n", "first", F.explode(F.sequence(F.greatest(F.col("pane") - (many - 1), F.lit(0)), F.least("pane", "_last"))).alias("block"))
+        last = F.floor((F.size("_w") - size) / step).cast("int").alias("_last")
+        cut = F.transform(F.sequence(F.lit(0), F.col("_last") + many - 1), lambda p: F.array_join(F.slice("_w", p * step + 1, step), " "))
+        pane = dealt.select(key, "_w", last).select(key, "_last", F.posexplode(cut).alias("pane", "_text"))
+        tok = pane.select(key, "_last", "pane", F.posexplode(tokens(F.col("_text"))).alias("_k", "tok")).where(wanted)
+        panes = tok.groupBy(key, "_last", "pane", "tok").agg(F.count("*").alias("n"), F.min(F.col("pane").cast("long") * (1 << 32) + F.col("_k")).alias("first"))
+        spread = panes.select(key, "tok", "n", "first", F.explode(F.sequence(F.greatest(F.col("pane") - (many - 1), F.lit(0)), F.least("pane", "_last"))).alias("block"))
         return spread.groupBy(key, "block", "tok").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     block = dealt.select(key, F.explode(starts(F.col("_w"), size, step)).alias("block"), "_w")
     word = block.select(key, "block", F.posexplode(F.slice("_w", F.col("block") * step + 1, size)).alias("_p", "_word"))

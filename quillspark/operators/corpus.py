@@ -10,15 +10,27 @@ from ..functions.words import DEFAULT_WORDS
 from . import series as X
 from .blocks import OVERLAP, SIZE, blocks, token_panes
 from .compare import most_similar, most_unique, similarity
-from .lexical import lexical_richness, pca_coordinates, sentence_lengths, top_keywords
+from .lexical import keyword_list, lexical_richness, pca_coordinates, richness_of, sentence_lengths, top_keywords
+
+
+def block_measures(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", keywords: int = 3, previews: tuple[int, ...] = ()) -> DataFrame:
+    """``(key, block, asl, simpson, honore, keywords, preview_N ...)``: a block's measures, from one
+    tokenisation by panes; its text only counts sentences and gives the previews, before any join.
+    Everything is partitioned by document. Blocks without tokens have zeros and no keywords."""
+    shown = [T.preview(F.col("block_text"), n).alias(f"preview_{n}") for n in previews]
+    texts = blocks(docs.select(key, "text").repartition(key), size, overlap, key).select(key, "block", T.sentence_count(F.col("block_text")).alias("_s"), *shown)
+    found = richness_of(token_panes(docs, size, overlap, key), [key, "block"], *([keyword_list(keywords).alias("keywords")] if keywords else []))
+    out = texts.join(found, [key, "block"], "left").na.fill(0, ["n_tokens"]).na.fill(0.0, ["simpson", "honore"])
+    asl = F.when(F.col("_s") > 0, F.col("n_tokens") / F.col("_s")).otherwise(F.lit(0.0))
+    words = [F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")] if keywords else []
+    return out.select(key, "block", asl.alias("asl"), "simpson", "honore", *words, *[f"preview_{n}" for n in previews])
 
 
 def metadata(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
     """Blocks, words (overlaps count each time), and rounded means of sentence length and Simpson."""
-    lengths, rich = sentence_lengths(docs, size, overlap, key), lexical_richness(docs, size, overlap, key)
-    return lengths.join(rich, [key, "block"]).groupBy(key).agg(
+    return block_measures(docs, size, overlap, key, 0).groupBy(key).agg(
         F.count("*").alias("total_blocks"), (F.count("*") * size).alias("total_words"),
-        F.round(F.avg("sentence_length"), 2).alias("avg_sentence_length"), F.round(F.avg("simpson"), 4).alias("avg_simpson"))
+        F.round(F.avg("asl"), 2).alias("avg_sentence_length"), F.round(F.avg("simpson"), 4).alias("avg_simpson"))
 
 
 #: The four metrics of a block.
@@ -132,38 +144,30 @@ def upsert(corpus: DataFrame, new: DataFrame, key: str = "book") -> DataFrame:
 
 def fingerprints(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", keywords: int = 3) -> DataFrame:
     """One nested record per document: four arrays of blocks, and metadata. A document is one row."""
-    b = blocks(docs, size, overlap, key).select(key, "block", "block_text")
-    words = top_keywords(token_panes(docs, size, overlap, key), [key, "block"], keywords).groupBy(key, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tok"))), lambda x: x["tok"]).alias("keywords"))
-    all_ = b.join(lexical_richness(docs, size, overlap, key), [key, "block"]).join(pca_coordinates(docs, size, overlap, key), [key, "block"]).join(words, [key, "block"], "left")
-    all_ = all_.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))).withColumn("asl", _asl())
+    all_ = block_measures(docs, size, overlap, key, keywords, (150, 1200)).join(pca_coordinates(docs, size, overlap, key), [key, "block"])
 
     def part(value, *more):
-        return F.struct("block", value.alias("value"), *more, "keywords", T.preview(F.col("block_text"), 150).alias("preview"), F.lit(size).alias("wordCount"))
+        return F.struct("block", value.alias("value"), *more, "keywords", F.col("preview_150").alias("preview"), F.lit(size).alias("wordCount"))
 
     def sorted_list(c):
         return F.array_sort(F.collect_list(c))
 
     return all_.groupBy(key).agg(
         sorted_list(part(F.round("asl", 4))).alias("sentenceLength"), sorted_list(part(F.round("simpson", 6))).alias("simpsonIndex"), sorted_list(part(F.round("honore", 4))).alias("hapaxLegomena"),
-        sorted_list(part(F.col("pc1"), F.col("pc2").alias("value_y"), T.preview(F.col("block_text"), 1200).alias("extended_preview"))).alias("functionWords"),
+        sorted_list(part(F.col("pc1"), F.col("pc2").alias("value_y"), F.col("preview_1200").alias("extended_preview"))).alias("functionWords"),
         F.struct(F.count("*").alias("totalBlocks"), (F.count("*") * size).alias("totalWords"), F.round(F.avg("asl"), 2).alias("avgSentenceLength"), F.round(F.avg("simpson"), 4).alias("avgSimpsonIndex")).alias("metadata"))
 
 
-def _asl():
-    from .lexical import sentence_length
-
-    return sentence_length(F.col("block_text"))
-
-
 def report(series: DataFrame, metric: str) -> DataFrame:
     """Lines (section, series_id, line) of the analysis report: one group of lines per series, then
     the comparison. No wall-clock line. No series: one fixed line."""
     facts = X.stats(series).join(X.trend(series).drop("n"), X.S, "left").join(X.turning(series), X.S).join(X.zscore_anomalies(series), X.S)
     name = T.preview(F.col(X.S).cast("string"), 20)
     slope = F.coalesce("slope", F.lit(0.0))
+    told = lambda c: F.round(F.col(c), 9)  # noqa: E731  (the last digits hang on the order of the sums)
     lines = F.concat_ws("\n", F.concat(F.lit("📖 书籍: "), name), F.concat(F.lit("  风格分类: "), X.style(F.lit(metric), F.col("mean"), F.col("cv"))),
-                        F.format_string("  均值: %.2f ± %.2f", "mean", "std"), F.format_string("  范围: %.2f - %.2f", "min", "max"),
-                        F.format_string("  趋势: %s (斜率: %.4f)", X.trend_word(slope), slope), F.format_string("  波动性: %.4f", "volatility"), F.format_string("  异常值: %d 个", "anomaly_count"))
+                        F.format_string("  均值: %.2f ± %.2f", told("mean"), told("std")), F.format_string("  范围: %.2f - %.2f", "min", "max"),
+                        F.format_string("  趋势: %s (斜率: %.4f)", X.trend_word(slope), F.round(slope, 9)), F.format_string("  波动性: %.4f", told("volatility")), F.format_string("  异常值: %d 个", "anomaly_count"))
     books = facts.select(F.lit(1).alias("section"), F.col(X.S).cast("string").alias("series_id"), lines.alias("line"))
     n = facts.count()
     spark = series.sparkSession
@@ -177,6 +181,6 @@ def report(series: DataFrame, metric: str) -> DataFrame:
         upper = similarity(series).cache()
         out = out.unionByName(most_unique(upper).select(F.lit(3).alias("section"), F.col(X.S).cast("string").alias("series_id"), F.concat(F.lit("最独特的风格: "), T.preview(F.col(X.S).cast("string"), 15)).alias("line")))
         out = out.unionByName(most_similar(upper).select(F.lit(4).alias("section"), F.lit(None).cast("string").alias("series_id"), F.concat(F.lit("最相似的风格对: "), T.preview(F.col("series_i").cast("string"), 12), F.lit(" ↔ "), T.preview(F.col("series_j").cast("string"), 12)).alias("line")))
-        told = facts.where(F.lower(F.col(X.S).cast("string")).rlike("huck|finn")).orderBy(X.S).limit(1)
-        out = out.unionByName(told.select(F.lit(5).alias("section"), F.col(X.S).cast("string").alias("series_id"), F.lit("🎯 特殊发现: 检测到《哈克贝利·费恩历险记》\n   根据Keim & Oelke (2007)的研究，此书风格异常:\n   • 第一人称儿童视角\n   • 大量口语方言使用\n   • 非标准语法结构").alias("line")))
+        found = facts.where(F.lower(F.col(X.S).cast("string")).rlike("huck|finn")).orderBy(X.S).limit(1)
+        out = out.unionByName(found.select(F.lit(5).alias("section"), F.col(X.S).cast("string").alias("series_id"), F.lit("🎯 特殊发现: 检测到《哈克贝利·费恩历险记》\n   根据Keim & Oelke (2007)的研究，此书风格异常:\n   • 第一人称儿童视角\n   • 大量口语方言使用\n   • 非标准语法结构").alias("line")))
     return out

@@ -18,15 +18,16 @@ def sentence_length(text: Column) -> Column:
     return F.when(n > 0, F.size(T.tokens(text)) / n).otherwise(F.lit(0.0))
 
 
-def richness_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+def richness_of(counts: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """N, V, V1, Simpson's D and Honoré's R from (keys, tok, n). D is 0 for fewer than two tokens, R is
-    0 without tokens or where every word stands once."""
+    0 without tokens or where every word stands once. ``more``: further aggregates of the same groups."""
     n, v, v1 = F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)
-    out = counts.groupBy(*keys).agg(n.alias("n_tokens"), v.alias("n_types"), v1.alias("n_hapax"), F.sum(F.col("n") * (F.col("n") - 1)).alias("_pairs"))
+    out = counts.groupBy(*keys).agg(n.alias("n_tokens"), v.alias("n_types"), v1.alias("n_hapax"), F.sum(F.col("n") * (F.col("n") - 1)).alias("_pairs"), *more)
     total = F.col("n_tokens").cast("double")
     simpson = F.when(F.col("n_tokens") >= 2, F.col("_pairs") / (total * (total - 1))).otherwise(F.lit(0.0))
     honore = F.when(F.col("n_hapax") < F.col("n_types"), 100 * F.log(total) / (1 - F.col("n_hapax") / F.col("n_types"))).otherwise(F.lit(0.0))
-    return out.select(*keys, "n_tokens", "n_types", "n_hapax", simpson.alias("simpson"), honore.alias("honore"))
+    rest = [c for c in out.columns if c not in (*keys, "n_tokens", "n_types", "n_hapax", "_pairs")]
+    return out.select(*keys, "n_tokens", "n_types", "n_hapax", simpson.alias("simpson"), honore.alias("honore"), *rest)
 
 
 def lexical_richness(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
@@ -43,6 +44,13 @@ def sentence_lengths(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
     return b.select(key, "block", F.size(T.tokens(F.col("block_text"))).cast("long").alias("n_tokens"), T.sentence_count(F.col("block_text")).cast("long").alias("n_sentences"), sentence_length(F.col("block_text")).alias("sentence_length"))
 
 
+def keyword_list(n: int) -> Column:
+    """Aggregate of (tok, n, first) rows of one block: its ``n`` commonest tokens that aren't stopwords,
+    ties by first place, as an array. A block's distinct tokens meet, which its size bounds."""
+    content = F.when(~F.col("tok").isin(STOPWORDS), F.struct((-F.col("n")).alias("m"), "first", "tok"))
+    return F.transform(F.slice(F.array_sort(F.collect_list(content)), 1, n), lambda x: x["tok"])
+
+
 def top_keywords(counts: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
     """``(keys, rank, tok, n)``: the commonest tokens that aren't stopwords; ties by first place."""
     content = counts.where(~F.col("tok").isin(STOPWORDS))

@@ -30,6 +30,12 @@ def blocks(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str =
     return out.select(key, "block", F.slice("_w", F.col("block") * step + 1, size).alias("words")).withColumn("block_text", F.array_join("words", " "))
 
 
+def dealt_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, _w)``: the words of each text, dealt out by document. Texts are shuffled, not words, and
+    plans that start from this over the same documents share one exchange."""
+    return docs.select(key, text).repartition(key).select(key, T.words(F.col(text)).alias("_w"))
+
+
 def token_panes(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text", tokens=T.tokens, only: list[str] | None = None) -> DataFrame:
     """``(key, block, tok, n, first)``: how often a token stands in a block, and its first place.
     ``tokens``: what a text's tokens are; ``only``: the tokens that count, all by default.
@@ -41,12 +47,13 @@ def token_panes(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key:
     """
     step = check(size, overlap)
     wanted = F.lit(True) if only is None else F.col("tok").isin(only)
-    dealt = docs.select(key, T.words(F.col(text)).alias("_w")).where(F.size("_w") >= size).repartition(key)
+    dealt = dealt_words(docs, key, text)
     # Partial counts by pane, then sums by block, both within the partitioning by document.
     many = size // step
     if size % step == 0:
         last = F.floor((F.size("_w") - size) / step).cast("int").alias("_last")
-        cut = F.transform(F.sequence(F.lit(0), F.col("_last") + many - 1), lambda p: F.array_join(F.slice("_w", p * step + 1, step), " "))
+        panes = F.when(F.col("_last") >= 0, F.sequence(F.lit(0), F.col("_last") + many - 1)).otherwise(F.array().cast("array<int>"))
+        cut = F.transform(panes, lambda p: F.array_join(F.slice("_w", p * step + 1, step), " "))
         pane = dealt.select(key, "_w", last).select(key, "_last", F.posexplode(cut).alias("pane", "_text"))
         tok = pane.select(key, "_last", "pane", F.posexplode(tokens(F.col("_text"))).alias("_k", "tok")).where(wanted)
         panes = tok.groupBy(key, "_last", "pane", "tok").agg(F.count("*").alias("n"), F.min(F.col("pane").cast("long") * (1 << 32) + F.col("_k")).alias("first"))

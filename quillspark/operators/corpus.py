@@ -16,8 +16,9 @@ from .lexical import keyword_list, lexical_richness, pca_coordinates, richness_o
 def block_measures(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", keywords: int = 3, previews: tuple[int, ...] = ()) -> DataFrame:
     """``(key, block, asl, simpson, honore, keywords, preview_N ...)``: a block's measures, from one
     tokenisation by panes; its text only counts sentences and gives the previews, before any join.
-    Everything is partitioned by document. Blocks without tokens have zeros and no keywords."""
+    Everything is partitioned by document. Blocks without tokens have zeros and no keywords; rows of a null key are left out."""
     shown = [T.preview(F.col("block_text"), n).alias(f"preview_{n}") for n in previews]
+    docs = docs.where(F.col(key).isNotNull())
     texts = blocks(docs.select(key, "text").repartition(key), size, overlap, key).select(key, "block", T.sentence_count(F.col("block_text")).alias("_s"), *shown)
     found = richness_of(token_panes(docs, size, overlap, key), [key, "block"], *([keyword_list(keywords).alias("keywords")] if keywords else []))
     out = texts.join(found, [key, "block"], "left").na.fill(0, ["n_tokens"]).na.fill(0.0, ["simpson", "honore"])
@@ -144,7 +145,7 @@ def upsert(corpus: DataFrame, new: DataFrame, key: str = "book") -> DataFrame:
 
 def fingerprints(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", keywords: int = 3) -> DataFrame:
     """One nested record per document: four arrays of blocks, and metadata. A document is one row."""
-    all_ = block_measures(docs, size, overlap, key, keywords, (150, 1200)).join(pca_coordinates(docs, size, overlap, key), [key, "block"])
+    all_ = block_measures(docs, size, overlap, key, keywords, (150, 1200)).join(pca_coordinates(docs.where(F.col(key).isNotNull()), size, overlap, key), [key, "block"])
 
     def part(value, *more):
         return F.struct("block", value.alias("value"), *more, "keywords", F.col("preview_150").alias("preview"), F.lit(size).alias("wordCount"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.words import STOPWORDS
-from .blocks import OVERLAP, SIZE, blocks, check, starts, token_panes
+from .blocks import OVERLAP, SIZE, blocks, check, dealt_words, starts, token_panes
 
 
 def sentence_length(text: Column) -> Column:
@@ -34,7 +34,7 @@ def lexical_richness(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP,
     """Richness of every block; blocks without tokens have zeros, as they'd vanish from the counts."""
     step = check(size, overlap)
     found = richness_of(token_panes(docs, size, overlap, key), [key, "block"])
-    every = docs.select(key, T.words(F.col("text")).alias("_w")).repartition(key).select(key, F.explode(starts(F.col("_w"), size, step)).alias("block"))
+    every = dealt_words(docs, key).select(key, F.explode(starts(F.col("_w"), size, step)).alias("block"))
     joined = every.join(found, [key, "block"], "left")
     return joined.na.fill(0, ["n_tokens", "n_types", "n_hapax"]).na.fill(0.0, ["simpson", "honore"])
 
@@ -67,8 +67,10 @@ def function_words(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, ke
 def last_blocks(docs: DataFrame, size: int, overlap: int, key: str) -> DataFrame:
     """``(key, last)``: the number of the last block of each document that has any."""
     step = check(size, overlap)
-    n = F.size(T.words(F.col("text")))
-    return docs.select(key, n.alias("_n")).where(F.col("_n") >= size).select(key, F.floor((F.col("_n") - size) / step).cast("int").alias("last"))
+    last = F.floor((F.size("_w") - size) / step).cast("int")
+    # No filter, which would move below the exchange and keep it from being shared.
+    some = F.when(last >= 0, F.array(last)).otherwise(F.array().cast("array<int>"))
+    return dealt_words(docs, key).select(key, F.explode(some).alias("last"))
 
 
 def function_word_vectors(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
@@ -105,10 +107,12 @@ def pca_coordinates(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, k
         last_blocks(docs, size, overlap, key).select(key, F.col("last").alias("block"), F.lit(0).alias("word"), F.lit(0).cast("long").alias("n")))
     kind = dict(docs.dtypes)[key]
 
-    def plane(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((int(pdf["block"].max()) + 1, len(vocabulary)))
-        np.add.at(m, (pdf["block"].to_numpy(), pdf["word"].to_numpy()), pdf["n"].to_numpy())
+    def plane(group: pa.Table) -> pa.Table:
+        block, word, n = (group.column(c).to_numpy() for c in ("block", "word", "n"))
+        m = np.zeros((int(block.max()) + 1, len(vocabulary)))
+        np.add.at(m, (block, word), n)
         xy = principal_plane(m)
-        return pd.DataFrame({key: pdf[key].iloc[0], "block": np.arange(len(m), dtype=np.int32), "pc1": xy[:, 0], "pc2": xy[:, 1]})
+        keys = pa.DictionaryArray.from_arrays(np.zeros(len(m), np.int32), group.column(key).combine_chunks().slice(0, 1)).dictionary_decode()
+        return pa.table({key: keys, "block": np.arange(len(m), dtype=np.int32), "pc1": xy[:, 0], "pc2": xy[:, 1]})
 
-    return cells.groupBy(key).applyInPandas(plane, f"{key} {kind}, block int, pc1 double, pc2 double")
+    return cells.groupBy(key).applyInArrow(plane, f"{key} {kind}, block int, pc1 double, pc2 double")

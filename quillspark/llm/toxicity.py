@@ -28,7 +28,7 @@ from .store import columns, table, unused
 #: Labelled training rows of each label at most: a bounded, documented sample.
 SAMPLE = 1500
 #: Bytes of these rows' texts at most, those of least hash first.
-SAMPLE_BYTES = 64 << 20
+SAMPLE_BYTES = 24 << 20
 #: Tokens that are summed up into one 2 x 2 transfer, so that long chains run in parallel.
 PIECE = 128
 THRESHOLD = 0.7

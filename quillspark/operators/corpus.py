@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.words import DEFAULT_WORDS
 from . import series as X
 from .blocks import OVERLAP, SIZE, blocks, token_panes
-from .compare import most_similar, most_unique, similarity
+from .compare import closest_pair, outlier
 from .lexical import keyword_list, lexical_richness, pca_coordinates, richness_of, sentence_lengths, top_keywords
 
 
@@ -179,9 +179,8 @@ def report(series: DataFrame, metric: str) -> DataFrame:
     if n > 1:
         out = out.unionByName(spark.range(1).select(F.lit(2).alias("section"), F.lit(None).cast("string").alias("series_id"), F.lit("🔄 跨书比较分析").alias("line")))
     if n > 2:
-        upper = similarity(series).cache()
-        out = out.unionByName(most_unique(upper).select(F.lit(3).alias("section"), F.col(X.S).cast("string").alias("series_id"), F.concat(F.lit("最独特的风格: "), T.preview(F.col(X.S).cast("string"), 15)).alias("line")))
-        out = out.unionByName(most_similar(upper).select(F.lit(4).alias("section"), F.lit(None).cast("string").alias("series_id"), F.concat(F.lit("最相似的风格对: "), T.preview(F.col("series_i").cast("string"), 12), F.lit(" ↔ "), T.preview(F.col("series_j").cast("string"), 12)).alias("line")))
+        out = out.unionByName(outlier(series).select(F.lit(3).alias("section"), F.col(X.S).cast("string").alias("series_id"), F.concat(F.lit("最独特的风格: "), T.preview(F.col(X.S).cast("string"), 15)).alias("line")))
+        out = out.unionByName(closest_pair(series).select(F.lit(4).alias("section"), F.lit(None).cast("string").alias("series_id"), F.concat(F.lit("最相似的风格对: "), T.preview(F.col("series_i").cast("string"), 12), F.lit(" ↔ "), T.preview(F.col("series_j").cast("string"), 12)).alias("line")))
         found = facts.where(F.lower(F.col(X.S).cast("string")).rlike("huck|finn")).orderBy(X.S).limit(1)
         out = out.unionByName(found.select(F.lit(5).alias("section"), F.col(X.S).cast("string").alias("series_id"), F.lit("🎯 特殊发现: 检测到《哈克贝利·费恩历险记》\n   根据Keim & Oelke (2007)的研究，此书风格异常:\n   • 第一人称儿童视角\n   • 大量口语方言使用\n   • 非标准语法结构").alias("line")))
     return out

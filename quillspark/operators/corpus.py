@@ -8,30 +8,38 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.words import DEFAULT_WORDS
 from . import series as X
-from .blocks import OVERLAP, SIZE, blocks, token_panes
+from .blocks import OVERLAP, SIZE
 from .compare import closest_pair, outlier
-from .lexical import keyword_list, lexical_richness, pca_coordinates, richness_of, sentence_lengths, top_keywords
+from .lexical import binary_round, honore, lexical_richness, measured, pca_coordinates, planes, sentence_lengths, simpson
 
 
-def block_measures(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", keywords: int = 3, previews: tuple[int, ...] = ()) -> DataFrame:
-    """``(key, block, asl, simpson, honore, keywords, preview_N ...)``: a block's measures, from one
-    tokenisation by panes; its text only counts sentences and gives the previews, before any join.
-    Everything is partitioned by document. Blocks without tokens have zeros and no keywords; rows of a null key are left out."""
-    shown = [T.preview(F.col("block_text"), n).alias(f"preview_{n}") for n in previews]
-    docs = docs.where(F.col(key).isNotNull())
-    texts = blocks(docs.select(key, "text").repartition(key), size, overlap, key).select(key, "block", T.sentence_count(F.col("block_text")).alias("_s"), *shown)
-    found = richness_of(token_panes(docs, size, overlap, key), [key, "block"], *([keyword_list(keywords).alias("keywords")] if keywords else []))
-    out = texts.join(found, [key, "block"], "left").na.fill(0, ["n_tokens"]).na.fill(0.0, ["simpson", "honore"])
-    asl = F.when(F.col("_s") > 0, F.col("n_tokens") / F.col("_s")).otherwise(F.lit(0.0))
-    words = [F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")] if keywords else []
-    return out.select(key, "block", asl.alias("asl"), "simpson", "honore", *words, *[f"preview_{n}" for n in previews])
+def block_arrays(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", keywords: int = 3) -> DataFrame:
+    """``(key, _w, _m)``: a text's words and its blocks' measures (block, asl, simpson, honore, keywords) in order, of
+    texts that have any. No shuffle. Blocks without tokens have zeros and no keywords; rows of a null key are left out."""
+    step = size - overlap
+
+    def one(m, b):
+        sentences = T.sentence_count(F.array_join(F.slice("_w", b * step + 1, size), " "))
+        asl = F.when(sentences > 0, m["n_tokens"] / sentences).otherwise(F.lit(0.0))
+        return F.struct(b.alias("block"), asl.alias("asl"), simpson(m).alias("simpson"), honore(m).alias("honore"), F.transform(m["keywords"], lambda k: k["tok"]).alias("keywords"))
+
+    some = measured(docs.where(F.col(key).isNotNull()), size, overlap, key, keywords).where(F.size("_m") > 0)
+    return some.select(key, "_w", F.transform("_m", one).alias("_m"))
+
+
+def _mean(values, n: int):
+    """The mean of an array's elements, rounded half up. Its last digits hang on the order of the sum and would decide
+    where the exact mean is a half, so they go first."""
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    return binary_round(F.round(total / F.size(values), 12), n)
 
 
 def metadata(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
     """Blocks, words (overlaps count each time), and rounded means of sentence length and Simpson."""
-    return block_measures(docs, size, overlap, key, 0).groupBy(key).agg(
-        F.count("*").alias("total_blocks"), (F.count("*") * size).alias("total_words"),
-        F.round(F.avg("asl"), 2).alias("avg_sentence_length"), F.round(F.avg("simpson"), 4).alias("avg_simpson"))
+    n = F.size("_m").cast("long")
+    return block_arrays(docs, size, overlap, key, 0).select(
+        key, n.alias("total_blocks"), (n * size).alias("total_words"),
+        _mean(F.col("_m.asl"), 2).alias("avg_sentence_length"), _mean(F.col("_m.simpson"), 4).alias("avg_simpson"))
 
 
 #: The four metrics of a block.
@@ -107,15 +115,20 @@ def nonempty(books: DataFrame, series: DataFrame, key: str = "book") -> DataFram
 
 
 def brush_blocks(docs: DataFrame, metric: str, first: int, last: int, n: int = 3, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", keywords: int = 3) -> DataFrame:
-    """``(series_id, rank, idx, value, preview, keywords)``: the brush's blocks with their text and keywords.
-    Texts are cut for the chosen blocks only."""
+    """``(series_id, rank, idx, value, preview, keywords)``: the brush's blocks with their text and keywords, chosen
+    where the text lies. Texts are cut for the chosen blocks only."""
     step = size - overlap
-    chosen = brush(block_metrics(docs, size, overlap, key, (metric,)), first, last, n)
-    words = top_keywords(token_panes(docs, size, overlap, key).where(F.col("block").between(first, last)), [key, "block"], keywords).groupBy(key, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tok"))), lambda x: x["tok"]).alias("keywords"))
-    out = chosen.join(docs.select(F.col(key).alias("series_id"), T.words(F.col("text")).alias("_w")), "series_id")
-    out = out.withColumn("preview", T.preview(F.array_join(F.slice("_w", F.col("idx") * step + 1, size), " "), 1200)).drop("_w")
-    out = out.join(words.select(F.col(key).alias("series_id"), F.col("block").alias("idx"), "keywords"), ["series_id", "idx"], "left")
-    return out.select("series_id", "rank", "idx", "value", "preview", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    if metric not in METRICS:
+        raise ValueError(f"no metrics of a block: {[metric]}")
+    of = {"sentenceLength": lambda m: m["asl"], "simpsonIndex": lambda m: m["simpson"], "hapaxLegomena": lambda m: m["honore"], "functionWords": lambda m: F.element_at("_p", m["block"] + 1)["pc1"]}[metric]
+    texts = block_arrays(docs, size, overlap, key, keywords)
+    if metric == "functionWords":
+        texts = texts.withColumn("_p", planes(F.col("_w"), size, step))
+    within = F.filter("_m", lambda m: (m["block"] >= first) & (m["block"] <= last))
+    order = F.array_sort(F.transform(within, lambda m: F.struct((-of(m)).alias("down"), m["block"].alias("idx"), of(m).alias("value"), m["keywords"].alias("keywords"))))
+    chosen = texts.select(F.col(key).alias("series_id"), "_w", F.posexplode(F.slice(order, 1, n)).alias("_r", "b"))
+    preview = T.preview(F.array_join(F.slice("_w", F.col("b.idx") * step + 1, size), " "), 1200)
+    return chosen.select("series_id", (F.col("_r") + 1).alias("rank"), "b.idx", "b.value", preview.alias("preview"), "b.keywords")
 
 
 def global_range(metrics: DataFrame) -> DataFrame:
@@ -144,19 +157,25 @@ def upsert(corpus: DataFrame, new: DataFrame, key: str = "book") -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, key: str = "doc_id", keywords: int = 3) -> DataFrame:
-    """One nested record per document: four arrays of blocks, and metadata. A document is one row."""
-    all_ = block_measures(docs, size, overlap, key, keywords, (150, 1200)).join(pca_coordinates(docs.where(F.col(key).isNotNull()), size, overlap, key), [key, "block"])
+    """One nested record per document: four arrays of blocks, and metadata. A document is one row, made where its
+    text lies: nothing is joined or grouped."""
+    step = size - overlap
+    all_ = block_arrays(docs, size, overlap, key, keywords).withColumn("_p", planes(F.col("_w"), size, step))
+    text = lambda b: F.array_join(F.slice("_w", b * step + 1, size), " ")
+    all_ = all_.select(key, "_m", "_p", F.transform("_m", lambda m: text(m["block"])).alias("_t"))
 
     def part(value, *more):
-        return F.struct("block", value.alias("value"), *more, "keywords", F.col("preview_150").alias("preview"), F.lit(size).alias("wordCount"))
+        return F.transform("_m", lambda m: F.struct(m["block"].alias("block"), value(m).alias("value"), *[f(m) for f in more], m["keywords"].alias("keywords"), T.preview(_at("_t", m), 150).alias("preview"), F.lit(size).alias("wordCount")))
+
+    n = F.size("_m").cast("long")
+    return all_.select(
+        key, part(lambda m: binary_round(m["asl"], 4)).alias("sentenceLength"), part(lambda m: binary_round(m["simpson"], 6)).alias("simpsonIndex"), part(lambda m: binary_round(m["honore"], 4)).alias("hapaxLegomena"),
+        part(lambda m: _at("_p", m)["pc1"], lambda m: _at("_p", m)["pc2"].alias("value_y"), lambda m: T.preview(_at("_t", m), 1200).alias("extended_preview")).alias("functionWords"),
+        F.struct(n.alias("totalBlocks"), (n * size).alias("totalWords"), _mean(F.col("_m.asl"), 2).alias("avgSentenceLength"), _mean(F.col("_m.simpson"), 4).alias("avgSimpsonIndex")).alias("metadata"))
 
-    def sorted_list(c):
-        return F.array_sort(F.collect_list(c))
 
-    return all_.groupBy(key).agg(
-        sorted_list(part(F.round("asl", 4))).alias("sentenceLength"), sorted_list(part(F.round("simpson", 6))).alias("simpsonIndex"), sorted_list(part(F.round("honore", 4))).alias("hapaxLegomena"),
-        sorted_list(part(F.col("pc1"), F.col("pc2").alias("value_y"), F.col("preview_1200").alias("extended_preview"))).alias("functionWords"),
-        F.struct(F.count("*").alias("totalBlocks"), (F.count("*") * size).alias("totalWords"), F.round(F.avg("asl"), 2).alias("avgSentenceLength"), F.round(F.avg("simpson"), 4).alias("avgSimpsonIndex")).alias("metadata"))
+def _at(array: str, m):
+    return F.element_at(array, m["block"] + 1)
 
 
 def report(series: DataFrame, metric: str) -> DataFrame:

@@ -53,3 +53,80 @@ def test_keys_of_text_are_compared(series):
 def test_a_series_is_sent_to_a_bounded_number_of_strips():
     assert [C._parts(n) for n in (0, 1, 256, 257, 1500, 9_000, 90_000, 500_000)] == [1, 1, 1, 3, 7, 31, 31, 31]
     assert all(C._parts(n) % 2 and n / C._parts(n) <= C.LARGEST for n in (540_000, 5_400_000))
+
+
+PLAIN = ["lexical_richness", "simpson", "honore", "top_keywords", "token_counts", "brush_blocks", "book_metadata", "fingerprint_nested", "fingerprint_blocks"]
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_blocks_are_measured_where_their_text_lies(spark, name):
+    """No exchange, no join; each text is tokenised once for each kind of token."""
+    from quillspark.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == (2 if name.startswith("fingerprint") else 1)
+
+
+@pytest.mark.parametrize("name", ["keyword_vocabulary", "global_range", "global_range_all", "book_overview", "sorted_books", "colour_position", "brush_top3", "positional_join"])
+def test_rows_a_token_are_not_shuffled(spark, name):
+    """What is left of exchanges gets a row a block at most."""
+    from quillspark.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan and (name == "keyword_vocabulary" or "tok#" not in "".join(x for x in plan.splitlines() if "Exchange" in x))
+
+
+@pytest.mark.parametrize("run", [1, 100, 1 << 19])
+@pytest.mark.parametrize("size,overlap", [(20, 15), (20, 13), (7, 0)])
+def test_counts_by_runs_equal_plain_counts(spark, monkeypatch, run, size, overlap):
+    from collections import Counter
+
+    from quillspark.functions.words import STOPWORDS
+    from quillspark.operators import blocks as B
+    from quillspark.operators import lexical as L
+
+    monkeypatch.setattr(B.Counts, "RUN", run)
+    rng = np.random.default_rng(5)
+    texts = [None, "", "too short", *(" ".join(rng.choice(["the", "river", "a-b", "12", "...", "Blood", "é", "and"], n)) for n in (19, 20, 90, 300, 41))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    step, want, top = size - overlap, {}, {}
+    for d, text in enumerate(texts):
+        words = (text or "").split()
+        for b in range((len(words) - size) // step + 1 if len(words) >= size else 0):
+            toks = ["" .join(t) for w in words[b * step : b * step + size] for t in w.lower().split("-") if t.isalpha()]
+            want[d, b] = Counter(toks)
+            first = {t: toks.index(t) for t in toks}
+            top[d, b] = sorted((t for t in first if t not in STOPWORDS), key=lambda t: (-want[d, b][t], first[t]))[:2]
+    got: dict = {k: Counter() for k in want}
+    for r in B.token_panes(df, size, overlap).collect():
+        got[r.doc_id, r.block][r.tok] = r.n
+    assert got == want
+    rich = {(r.doc_id, r.block): (r.n_tokens, r.n_types, r.n_hapax) for r in L.lexical_richness(df, size, overlap).collect()}
+    assert rich == {k: (sum(c.values()), len(c), sum(n == 1 for n in c.values())) for k, c in want.items()}
+    ranked: dict = {k: [] for k in want}
+    for r in L.keyword_rows(df, size, overlap, n=2).orderBy("doc_id", "block", "rank").collect():
+        ranked[r.doc_id, r.block].append(r.tok)
+        assert r.n == want[r.doc_id, r.block][r.tok]
+    assert ranked == top
+
+
+def test_a_mean_at_a_half_goes_up_in_any_order(spark):
+    """0.0062 and 0.0063 both came from sums of these, by their order; the exact mean is 0.00625."""
+    from quillspark.operators import corpus as K
+
+    pairs = [268, 220, 268, 326, 252, 194, 214, 248]
+    for some in (pairs, pairs[::-1], sorted(pairs)):
+        df = spark.createDataFrame([([p / 39800 for p in some],)], "v array<double>")
+        assert df.select(K._mean(F.col("v"), 4).alias("m")).first().m == 0.0063
+
+
+def test_fingerprints_have_each_block_once(spark, tmp_path):
+    """Many documents in many files, which joins of shared exchanges gave twice."""
+    from quillspark.operators import corpus as K
+
+    text = " ".join(f"river{'s' * (i % 5)} the blood." if i % 3 else "and he did" for i in range(30))
+    spark.range(300).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).repartition(7).write.parquet(str(tmp_path / "d"))
+    rows = K.fingerprints(spark.read.parquet(str(tmp_path / "d")), 20, 10).collect()
+    blocks = (len(text.split()) - 20) // 10 + 1
+    assert len(rows) == 300 and all([b.block for b in r.functionWords] == list(range(blocks)) == [b.block for b in r.simpsonIndex] and r.metadata.totalBlocks == blocks for r in rows)

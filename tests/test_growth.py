@@ -130,3 +130,12 @@ def test_fingerprints_have_each_block_once(spark, tmp_path):
     rows = K.fingerprints(spark.read.parquet(str(tmp_path / "d")), 20, 10).collect()
     blocks = (len(text.split()) - 20) // 10 + 1
     assert len(rows) == 300 and all([b.block for b in r.functionWords] == list(range(blocks)) == [b.block for b in r.simpsonIndex] and r.metadata.totalBlocks == blocks for r in rows)
+
+
+def test_a_mean_at_a_limit_is_not_below_it(spark):
+    """49.97 + 50.03 + ... is 50 or a little less, by the order of the sum."""
+    from quillspark.operators import series as X
+
+    df = spark.createDataFrame([(50.0, 0.3), (49.99999999999999, 0.30000000000000004), (49.99, 0.31)], "mean double, cv double")
+    got = [r.s for r in df.select(X.style(F.lit("Hapax"), F.col("mean"), F.col("cv")).alias("s")).collect()]
+    assert got[0] == got[1] != got[2]

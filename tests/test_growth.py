@@ -139,3 +139,28 @@ def test_a_mean_at_a_limit_is_not_below_it(spark):
     df = spark.createDataFrame([(50.0, 0.3), (49.99999999999999, 0.30000000000000004), (49.99, 0.31)], "mean double, cv double")
     got = [r.s for r in df.select(X.style(F.lit("Hapax"), F.col("mean"), F.col("cv")).alias("s")).collect()]
     assert got[0] == got[1] != got[2]
+
+
+@pytest.mark.parametrize("centres,cells", [(16_384, 1 << 19), (3, 40)])
+def test_cluster_keywords_equal_plain_counts(spark, monkeypatch, centres, cells):
+    """Shares of a cell, a crowd on one place, points without words, words that stand twice; no pair is shuffled."""
+    from quillspark.operators import neighbours as N
+
+    monkeypatch.setattr(N, "CENTRES", centres)
+    monkeypatch.setattr(N, "CELLS", cells)
+    rng = np.random.default_rng(2)
+    at = {int(k): tuple(map(float, xy)) for k, xy in zip(rng.permutation(80), rng.uniform(-1, 1, (80, 2)))} | {100 + k: (0.3, 0.3) for k in range(20)} | {200: (9.0, 9.0)}
+    words = [(k, p, str(w)) for k in at if k % 7 for p, w in enumerate(rng.choice(["a", "b", "c", "d", "é"], 4))]
+    points = spark.createDataFrame([(k, x, y) for k, (x, y) in at.items()] + [(300, None, 1.0)], "id long, x double, y double")
+    df = N.cluster_keywords(points, spark.createDataFrame(words, "id long, pos int, word string"), 0.5, n=3)
+    want = set()
+    for k, (x, y) in at.items():
+        seen = [w for w in sorted(words) if np.sqrt((at[w[0]][0] - x) ** 2 + (at[w[0]][1] - y) ** 2) < 0.5]
+        count, first = {}, {}
+        for i, (_, _, w) in enumerate(seen):
+            count[w] = count.get(w, 0) + 1
+            first.setdefault(w, i)
+        want |= {(k, r, w, count[w]) for r, w in enumerate(sorted(count, key=lambda w: (-count[w], first[w]))[:3], 1)}
+    assert set(map(tuple, df.collect())) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 2 and "neighbour" not in plan
